@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcorr.llm import packing, pii, quality_rules, simhash, url_filter
+from sparkcorr.llm import decontaminate, fixity, html_text, packing, pii, quality_rules, simhash, url_filter
 from sparkcorr.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the pages' archives against a replica that has decayed."""
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.decayed(pages))
+
+
 def op3_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = url_filter.filter_urls(pages, url_filter.campaign_urls(pages), URL_RULES)
@@ -47,7 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_fixity": op2_fixity,
         "op3_pii_deobfuscation": op3_pii_deobfuscation,
+        "op5_decontamination": op5_decontamination,
+        "op6_html_text": op6_html_text,
         "op7_url_filter": op7_url_filter,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
@@ -89,5 +106,38 @@ FROM ruled r LEFT JOIN rules u ON u.rule = r.rule LEFT JOIN listed l ON l.canoni
 """
 
 
+OP2_SQL = r"""
+WITH replica AS (
+  SELECT 'ours' AS side, page_id, url, html FROM pages
+  UNION ALL
+  SELECT 'theirs', page_id, url,
+         CASE WHEN mark IN ('00', '01', '02', '03') THEN '?' || substr(html, 2) ELSE html END
+  FROM (SELECT *, substr(md5(concat_ws('#', coalesce(url, ''), page_id::VARCHAR)), 1, 2) AS mark FROM pages)
+  WHERE mark NOT IN ('fe', 'ff')
+), bytes AS (
+  SELECT side, page_id,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) ||
+         'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) ||
+         'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
+         'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) ||
+         'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) ||
+         coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM replica
+), recs AS (
+  SELECT side, page_id, CAST(floor(page_id / 4096) AS BIGINT) AS archive, CAST(page_id % 4096 AS BIGINT) AS slot,
+         strlen(record) AS length, sha256('record:' || record) AS digest
+  FROM bytes
+), placed AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, archive ORDER BY slot, digest
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM recs
+)
+SELECT o.archive, o.page_id, o."offset", o.length, o.digest,
+       CASE WHEN t.digest IS NULL THEN 'missing' WHEN t.digest = o.digest THEN 'intact' ELSE 'corrupt' END AS status
+FROM placed o LEFT JOIN placed t ON t.side = 'theirs' AND t.archive = o.archive AND t.slot = o.slot
+WHERE o.side = 'ours'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op2_fixity": OP2_SQL, "op7_url_filter": OP7_SQL}
