@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -53,6 +54,13 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan refers to any more. Spark deletes them when the driver
+    collects its garbage, which on a large heap may be long after a stage that needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str | StructType, step: int = 1000) -> DataFrame:
     """Apply ``fn`` to slices of at most ``step`` rows of each Arrow batch.
 

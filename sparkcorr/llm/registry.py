@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcorr.llm import decontaminate, fixity, html_text, packing, pii, quality_rules, simhash, url_filter
+from sparkcorr.llm import decontaminate, fixity, html_text, packing, pii, quality_rules, simhash, substrings, url_filter
 from sparkcorr.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op3_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "op2_fixity": op2_fixity,
         "op3_pii_deobfuscation": op3_pii_deobfuscation,
+        "op4_suffix_array": op4_suffix_array,
         "op5_decontamination": op5_decontamination,
         "op6_html_text": op6_html_text,
         "op7_url_filter": op7_url_filter,
