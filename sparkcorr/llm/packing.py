@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-CACHED_PIECES, CACHED_CHARS = 400_000, 64
+CACHED_PIECES, CACHED_CHARS = 500_000, 64
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
@@ -47,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,22 +56,34 @@ class Encoder:
         if any(mark in text for mark in self.marks):
             return None
         text = self._STOP.sub(r" \1", text).replace("\n", " ")
-        return (text.lower() if text.isascii() else text).split(" ")
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # one letter for one, as the vocabulary's normaliser does
+        except UnicodeEncodeError:
+            pass
+        return text.split(" ")
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Have all pieces in ``known``. Its older half is dropped when the newer one is full; what was used since stays."""
+        if len(self.known) > CACHED_PIECES:
+            self.known, self.older = {}, self.known
+        new = []
+        for piece in pieces - self.known.keys():
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        self.known.update(zip(new, self._whole(new)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = list(map(self._pieces, texts))
-        new = sorted(set().union(*(p for p in cut if p is not None)) - self.known.keys())
-        fresh = dict(zip(new, self._whole(new)))
-        if len(self.known) > CACHED_PIECES:
-            kept = set().union(*(p for p in cut if p is not None)) - fresh.keys()
-            self.known = {p: self.known[p] for p in kept}
-        self.known.update(fresh)
-        out = [b"" if p is None else b"".join(map(self.known.__getitem__, p)) for p in cut]
-        for p in [p for p in fresh if len(p) > CACHED_CHARS]:
-            del self.known[p]
-        for k, p in enumerate(cut):
-            if p is None:
-                out[k] = self._whole([texts[k]])[0]
+        seen = set().union(*(p for p in cut if p is not None))
+        self._learn(seen)
+        out = [self._whole([t])[0] if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut)]
+        for piece in seen:
+            if len(piece) > CACHED_CHARS:
+                del self.known[piece]
         return out
 
 
@@ -192,8 +205,8 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int = END
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=PIECES)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                ids_of, texts = (c.to_pylist() for c in batch.slice(k, 500).columns)
+            for k in range(0, batch.num_rows, 1000):
+                ids_of, texts = (c.to_pylist() for c in batch.slice(k, 1000).columns)
                 for doc_id, ids in zip(ids_of, encode([t or "" for t in texts])):
                     ids += end
                     held[serial] = [doc_id, ids, len(ids) // 4]
