@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkcorr.llm import decontaminate, fixity, html_text, packing, pii, quality_rules, simhash, substrings, url_filter
+from sparkcorr.llm import decontaminate, fixity, html_text, packing, passages, pii, quality_rules, simhash, substrings, url_filter
 from sparkcorr.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": op7_url_filter,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
+        "op10_compact_windows": op10_compact_windows,
     }
 
 
