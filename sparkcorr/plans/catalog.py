@@ -326,10 +326,10 @@ _add(
 
 def _long_sketch(df: DataFrame) -> DataFrame:
     out = df.select("id", "t0", F.posexplode("sketch").alias("k", "u"))
-    return out.select("id", "t0", F.col("k").cast("long").alias("k"), (F.round("u", 4) + F.lit(0).cast("double")).alias("u"))
+    return out.select("id", "t0", F.col("k").cast("long").alias("k"), (F.round("u", 8) + F.lit(0).cast("double")).alias("u"))
 
 
-_SKETCH_ROWS = f"SELECT id, t0, j - 1 AS k, round(sketch[j], 4) + 0e0 AS u FROM (SELECT *, unnest(range(1, {CFG.n_vectors + 1})) AS j FROM sketched)"
+_SKETCH_ROWS = f"SELECT id, t0, j - 1 AS k, round(sketch[j], 8) + 0e0 AS u FROM (SELECT *, unnest(range(1, {CFG.n_vectors + 1})) AS j FROM sketched)"
 _Z = replace(CFG, sketch_norm="z")
 _add("sketch_project", lambda s, d: _long_sketch(sk.project(query(s, d).windows, CFG, centred=False)), _with(f"{_WINDOW_ROWS}, sketched AS (SELECT id, t0, [list_dot_product(r, xs) for r in {_weights_sql(CFG)}] AS sketch FROM windows)", _SKETCH_ROWS))
 _add("sketch_mean_l2", lambda s, d: _long_sketch(sk.sketches(query(s, d).windows.where("not is_const"), CFG)), _with(f"{_WINDOW_ROWS}, {_sketch_sql(CFG)}", _SKETCH_ROWS))
