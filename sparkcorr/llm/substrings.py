@@ -43,7 +43,9 @@ CONTEXT = KEY + 2 * SIDE
 NO_ID = (1 << 63) - 1
 GAP = 0xFF  # no byte of UTF-8
 #: Bytes of text in one numpy slice, in one map-side reduction, in one group of documents.
-SLICE, CHUNK, GROUP = 1 << 20, 24 << 20, 12 << 20
+SLICE, CHUNK, GROUP = 1 << 18, 6 << 20, 12 << 20
+#: Bytes of text for which there is one bucket of anchors, and one shard of contexts.
+BUCKET, SHARD = 16 << 20, 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -156,7 +158,7 @@ def _deal(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         mine = docs[order] > least[run_of]
         cut = order[mine]
         bucket = hashes % buckets
-        rows = [(int(bucket[cut[0]]), g, d, i, np.full(len(i) // 8, ALL, np.uint32).tobytes()) for g, d, i in _blobs(groups[cut], docs[cut], ids[cut])] if len(cut) else []
+        rows = [(g % buckets, g, d, i, np.full(len(i) // 8, ALL, np.uint32).tobytes()) for g, d, i in _blobs(groups[cut], docs[cut], ids[cut])] if len(cut) else []
         first = order[~mine]
         rows += [(b, -1, d, i, g) for b, d, i, g in _blobs(bucket[first], docs[first], ids[first], groups[first].astype(np.int32))]
         for at in range(0, len(rows), 256):
@@ -178,10 +180,12 @@ def _deal(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _judge(table: pa.Table) -> pa.Table:
     """One bucket: documents whose contexts a smaller one has; and those to ask for their bytes."""
-    told = [(g, d, i, w) for g, d, i, w in zip(*(table.column(n).to_pylist() for n in TOLD.names)) if g >= 0]
-    blobs = [(d, i, w) for g, d, i, w in zip(*(table.column(n).to_pylist() for n in TOLD.names)) if g < 0]
+    told, blobs = [], []
+    for g, *rest in zip(*(table.column(n).to_pylist() for n in TOLD.names)):
+        (told.append((g, *rest)) if g >= 0 else blobs.append(rest))
     if blobs:
         docs, ids, groups = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*blobs), (np.int64, np.uint64, np.int32)))
+        del blobs
         order, starts, least = _reduce(ids, docs)
         docs, ids, groups = docs[order], ids[order], groups[order]
         sizes = np.diff([*starts.tolist(), len(ids)])
@@ -323,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False, id_col: str = "d
     told_ddl = "grp long, doc binary, id binary, windows binary"
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups, buckets = max(64, -(-size // GROUP)), max(256, -(-size // (4 << 20)))
+    groups, buckets = max(64, -(-size // GROUP)), max(256, -(-size // BUCKET))
     # documents without an id are dealt by their text
     group = F.pmod(F.when(F.col("doc") == NO_ID, F.xxhash64("text")).otherwise(F.xxhash64("doc")), F.lit(groups))
     rows = rows.withColumn("grp", group)
@@ -334,7 +338,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False, id_col: str = "d
     dealt = rows.mapInArrow(deal, f"bucket long, {told_ddl}")
     told = stash(dealt.groupBy("bucket").applyInArrow(_judge, told_ddl))
     release(docs.sparkSession)
-    shards = max(64, -(-size // (16 << 20)))
+    shards = max(64, -(-size // SHARD))
     by_group = rows.groupBy("grp")
     asked = by_group.cogroup(told.groupBy("grp")).applyInArrow(lambda d, t: _ask(shards, d, t), "shard long, grp long, doc binary, id binary, context binary")
     found = stash(asked.groupBy("shard").applyInArrow(_sort_shard, told_ddl))
