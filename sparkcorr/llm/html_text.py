@@ -37,8 +37,9 @@ FRAME_WORDS = frozenset(
     "comment comments disqus respond cookie cookies consent notice notices popup modal newsletter subscribe signup share sharing social related recommended widget toolbar pagination pager".split()
 )
 FRAME_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"})
-#: Score of a word, and of tags, where nothing is learned.
-DEFAULT_WEIGHTS = {"word": 0.5, "tag": -2.0, "open p": 0.5, "close p": 0.5, "open br": 0.0, "open article": -8.0, "close article": -8.0}
+PROSE = INLINE - {"a"} | frozenset("p br h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd".split())
+#: Score of a word, and of tags, where nothing is learned; tags of prose then score nothing.
+DEFAULT_WEIGHTS = {"word": 0.5, "tag": -2.0, "open article": -8.0, "close article": -8.0}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
@@ -170,7 +171,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif kind == "text":
             scores.append(word * len(value.split()))
         else:
-            scores.append(weights.get(f"{kind} {value}", other))
+            scores.append(weights.get(f"{kind} {value}", 0.0 if value in PROSE else other))
     start, end = best_region(scores)
     blocks, now = [], []
     for k in range(start, end):

@@ -30,7 +30,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 WINDOW = 5
 
-STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_distinct_words long, n_bare_words long"
+STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_bare_words long"
 
 
 def repeated_words(words: list[str], size: int = WINDOW) -> int:
@@ -67,7 +67,6 @@ def statistics_of(text: str | None) -> tuple[int, ...]:
         repeated_words(words),
         lines,
         len(UPPER.findall(text)),
-        len(kinds),
         sum(n for word, n in kinds.items() if not any(map(str.isalnum, word))),
     )
 
@@ -95,7 +94,6 @@ def features() -> dict[str, Column]:
         "dup_line_share": F.col("n_dup_lines") / lines,
         "repeat_share": F.col("n_repeat_words") / words,
         "upper_share": F.col("n_upper") / chars,
-        "distinct_share": F.col("n_distinct_words") / words,
         "bare_share": F.col("n_bare_words") / words,
         "words_per_line": F.col("n_words") / lines,
     }
@@ -171,25 +169,34 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> tuple[Rule, float]:
     return best, worth
 
 
-def learn_rules(x: np.ndarray, bad: np.ndarray, *, min_cover: int = 8, min_precision: float = 0.9, max_rules: int = 16, max_tests: int = 4, seed: int = 7) -> list[Rule]:
+def learn_rules(x: np.ndarray, bad: np.ndarray, *, min_cover: int = 5, min_precision: float = 0.9, max_rules: int = 16, max_tests: int = 4, tries: int = 8, seed: int = 7) -> list[Rule]:
     """Sequential covering: rules for the rows to reject, most telling first.
 
-    A rule is grown on two thirds of the rows left and pruned on the rest; it is emitted if on all
-    rows left at least ``min_precision`` of what it covers is bad. Covered rows then leave.
+    A rule is grown on two thirds of the rows left and pruned on the rest, in ``tries`` random
+    splits, so that few labels are no matter of luck. The best on all rows left is emitted if at least
+    ``min_precision`` of what it covers is bad. Covered rows then leave.
     """
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []
     if len(x) < 2 * min_cover:
         return rules
+    min_cover = max(min_cover, -(-int(bad.sum()) // 50))  # a rule for a handful is chance
+    price = min_precision / (1 - min_precision)  # bad rows that a good one's loss must bring
     while len(rules) < max_rules and bad.sum() >= min_cover and not bad.all():
-        grow = rng.random(len(x)) < 2 / 3
-        if not 0 < bad[grow].sum() < grow.sum():
+        best, gain = None, 0.0
+        for _ in range(tries):
+            grow = rng.random(len(x)) < 2 / 3
+            if not 0 < bad[grow].sum() < grow.sum():
+                continue
+            rule, _ = _prune(_grow(x[grow], bad[grow], min_cover, max_tests), x[~grow], bad[~grow])
+            inside = rule.holds(x)
+            p, n = (inside & bad).sum(), (inside & ~bad).sum()
+            if rule.tests and p + n >= min_cover and p - price * n > gain:
+                best, gain = rule, p - price * n
+        if best is None:
             break
-        rule, _ = _prune(_grow(x[grow], bad[grow], min_cover, max_tests), x[~grow], bad[~grow])
-        inside = rule.holds(x)
-        if not rule.tests or inside.sum() < min_cover or bad[inside].mean() < min_precision:
-            break
-        rules.append(rule)
+        rules.append(best)
+        inside = best.holds(x)
         x, bad = x[~inside], bad[~inside]
     return rules
 
