@@ -234,7 +234,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id names their component. Rows that share an id are one document,
     of which one row stays; rows without an id stay."""
     kept = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct())
-    out = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
+    # a merge join at every size: texts move once, and ids are never sent to all executors
+    out = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns))
     if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
         return out
     return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
