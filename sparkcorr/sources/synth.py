@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcorr.shipping import ship
+
 PROCESSES = ("white_noise", "random_walk", "seasonal_arma", "seasonal_ar", "ou", "rw_seasonal_drift", "trend_ar", "integrated_seasonal", "ar1")
 
 
@@ -125,6 +127,7 @@ def generate(spark: SparkSession, cfg: SynthConfig) -> tuple[DataFrame, DataFram
             x = equalise(x, cfg.equalise, cfg.equalise_pad)
         return pd.DataFrame({"pos": pos, "t": np.arange(1, cfg.n + 1), "v": x})
 
+    ship(spark)
     base = spark.range(cfg.m).withColumnRenamed("id", "pos").groupBy("pos").applyInPandas(walk, "pos long, t long, v double")
     placed = plan(cfg)
     schema = "pair long, pos1 long, pos2 long, start1 long, start2 long, sign long, r double"

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sparkcorr.config import CorrConfig
+from sparkcorr.shipping import ship
 
 PAIRS = "id1 string, t1 long, id2 string, t2 long, lag long, corr double"
 EVENTS = "id1 string, id2 string, lag long, time_idx long, anomaly string"
@@ -41,6 +42,7 @@ def correlate_stream(series: DataFrame, cfg: CorrConfig) -> DataFrame:
     A step closes with its last tick, so a micro-batch must hold all series' ticks of the steps
     that it closes, as a source of whole chunks does.
     """
+    ship(series.sparkSession)
     blocks = cfg.id_blocks
     own = F.pmod(F.xxhash64("id"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
@@ -123,6 +125,7 @@ def monitor_stream(correlated: DataFrame, cfg: CorrConfig) -> DataFrame:
         state.update(last)
         yield pd.DataFrame(out, columns=["id1", "id2", "lag", "time_idx", "anomaly"])
 
+    ship(correlated.sparkSession)
     return correlated.groupBy("id1", "id2", "lag").applyInPandasWithState(step, EVENTS, "t1 long, t2 long, sign long", "append", GroupStateTimeout.NoTimeout)
 
 
