@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkcorr.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,9 +59,12 @@ def stash(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that no plan refers to any more. Spark deletes them when the driver
-    collects its garbage, which on a large heap may be long after a stage that needs the disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collects its garbage, which on a large heap may be long after a stage that needs the disk. The
+    cleaner works beside us, and what the first round frees may hold more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str | StructType, step: int = 1000) -> DataFrame:
@@ -69,6 +75,7 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str |
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     out = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

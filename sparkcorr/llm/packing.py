@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcorr.shipping import ship
+
 END_ID = 2
 CACHED_PIECES, CACHED_CHARS = 500_000, 64
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -216,5 +218,6 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int = END
         packer.finish()
         yield from emit()
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in PIECES.names))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkcorr.llm.common import map_batches, stash
 from sparkcorr.llm.components import components
+from sparkcorr.shipping import ship
 
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
@@ -207,6 +208,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 u, v = forest(np.frombuffer(blob.as_py(), np.int64), max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    ship(distinct.sparkSession)
     dealt = distinct.select("fp").mapInArrow(deal, "bucket int, keys binary, fps binary")
     found = stash(dealt.groupBy("bucket").applyInArrow(link, "u long, v long, work binary"))
     hot = found.where("work is not null").select("work").repartition(F.xxhash64("work")).mapInArrow(compare, "u long, v long")

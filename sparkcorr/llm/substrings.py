@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from sparkcorr.llm.common import release, stash
 from sparkcorr.llm.suffix_array import permuted_lcp, suffix_array, words8
+from sparkcorr.shipping import ship
 
 SPAN, KEY, GRAM = 50, 33, 15
 WINDOWS = SPAN - KEY + 1  # that hold an anchor
@@ -43,7 +44,7 @@ CONTEXT = KEY + 2 * SIDE
 NO_ID = (1 << 63) - 1
 GAP = 0xFF  # no byte of UTF-8
 #: Bytes of text in one numpy slice, in one map-side reduction, in one group of documents.
-SLICE, CHUNK, GROUP = 1 << 18, 6 << 20, 12 << 20
+SLICE, CHUNK, GROUP = 1 << 18, 6 << 20, 8 << 20
 #: Bytes of text for which there is one bucket of anchors, and one shard of contexts.
 BUCKET, SHARD = 16 << 20, 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -324,6 +325,7 @@ def _cut(with_text: bool, docs_table: pa.Table, told_table: pa.Table) -> pa.Tabl
 def remove_repeats(docs: DataFrame, *, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with ``with_text`` the
     bytes that are left, as ``kept``."""
+    ship(docs.sparkSession)
     told_ddl = "grp long, doc binary, id binary, windows binary"
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
