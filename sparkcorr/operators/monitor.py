@@ -50,15 +50,16 @@ def anomalies(correlated: DataFrame, cfg: CorrConfig, last_anchor: DataFrame) ->
     ended. After a gap, a restart with the other sign is ``changed_sign`` if ``carry_sign_over_gap``,
     else ``into``.
     """
-    of = runs(correlated, cfg)
+    of = runs(correlated, cfg).join(F.broadcast(last_anchor.toDF("last_anchor")), F.lit(True))  # one row
     other = F.col("prev_sign").isNotNull() & (F.col("prev_sign") != F.col("corr_sign"))
     changed = other if cfg.carry_sign_over_gap else other & F.col("contiguous")
-    begun = of.where("starts").select(*KEY, F.least("t1", "t2").alias("time_idx"), F.when(changed, "changed_sign").otherwise("into").alias("anomaly"))
-    last = F.broadcast(last_anchor.toDF("last_anchor"))  # one row
     open_end = F.col("next_t1").isNull() | (F.col("next_t1") != F.col("t1") + cfg.step)
+    time = F.least("t1", "t2")
+    event = lambda t, name: F.struct(t.alias("time_idx"), name.alias("anomaly"))
+    begun = F.when(F.col("starts"), event(time, F.when(changed, "changed_sign").otherwise("into")))
     # an episode's length at its last window, less the part that windows share, is one step past its start
-    ended = of.where(open_end).join(last, F.col("t1") < F.col("last_anchor")).select(*KEY, (F.least("t1", "t2") + cfg.step).alias("time_idx"), F.lit("out_of").alias("anomaly"))
-    return begun.unionByName(ended)
+    ended = F.when(open_end & (F.col("t1") < F.col("last_anchor")), event(time + cfg.step, F.lit("out_of")))
+    return of.select(*KEY, F.explode(F.filter(F.array(begun, ended), lambda e: e.isNotNull())).alias("e")).select(*KEY, "e.time_idx", "e.anomaly")
 
 
 def max_lag(correlated: DataFrame) -> DataFrame:

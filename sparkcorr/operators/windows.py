@@ -26,28 +26,47 @@ def _offset(series: DataFrame, cfg: CorrConfig) -> tuple[DataFrame, Column]:
 def sliding_windows(series: DataFrame, cfg: CorrConfig) -> DataFrame:
     """(id, t0, xs): every full window on the step grid, values in order.
 
-    Values are gathered in blocks of a step first, then each block goes to the ``w / step`` windows
-    that hold it: no group exceeds a window, however long a series. Nulls and NaN count as missing,
-    and a window with a missing tick isn't made.
+    Ticks are gathered in chunks of some dozen window starts, with the ticks after them that their
+    windows need: one shuffle of little more than the series, and no group larger than a chunk,
+    however long a series. Nulls and NaN count as missing; a window with a missing or repeated tick
+    isn't made.
     """
     per = cfg.w // cfg.step
+    starts = max(4 * per, 32)
+    span = starts * cfg.step
     rows, since = _offset(series.where(F.col("v").isNotNull() & ~F.isnan("v")), cfg)
-    rows = rows.withColumn("since", since).where("since >= 0")
-    blocks = (
-        rows.groupBy("id", F.floor(F.col("since") / cfg.step).cast("long").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("tv"))
-        .where(F.size("tv") == cfg.step)
-    )
-    dealt = blocks.select("id", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("block") - (per - 1)), F.col("block"))).alias("first"), "block", "tv")
-    grouped = dealt.groupBy("id", "first").agg(F.array_sort(F.collect_list(F.struct("block", "tv"))).alias("parts")).where(F.size("parts") == per)
-    ticks = F.flatten(F.transform("parts", lambda p: p["tv"]))
-    return grouped.select("id", F.element_at(ticks, 1)["t"].alias("t0"), F.transform(ticks, lambda x: x["v"]).alias("xs"))
+    chunk = F.floor(F.col("since") / span).cast("long")
+    ahead = (F.pmod("since", F.lit(span)) < cfg.w - cfg.step) & (chunk > 0)
+    dealt = rows.withColumn("since", since).where("since >= 0").select("id", "t", "v", (F.col("t") - F.col("since")).alias("first"), F.explode(F.when(ahead, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))).alias("chunk"))
+    # by chunk too where the ids alone would do: one series may be most of the data
+    chunks = dealt.repartition("id", "chunk").groupBy("id", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("tv"), F.min("first").alias("first"))
+    low, high = F.element_at("tv", 1)["t"], F.element_at("tv", -1)["t"]
+    dense = (high - low + 1 == F.size("tv")) & (F.size(F.array_distinct(F.transform("tv", lambda x: x["t"]))) == F.size("tv"))
+    chunks = chunks.select("id", "tv", (F.col("first") + F.col("chunk") * span).alias("base"), low.alias("low"), high.alias("high"), dense.alias("dense"))
+
+    def window(j):
+        t0 = F.col("base") + j * cfg.step
+        inside = (t0 >= F.col("low")) & (t0 + (cfg.w - 1) <= F.col("high"))
+        cut = F.slice("tv", (t0 - F.col("low") + 1).cast("int"), cfg.w)
+        sought = F.filter("tv", lambda x: x["t"].between(t0, t0 + (cfg.w - 1)))
+        return F.when(inside, F.struct(t0.alias("t0"), F.when(F.col("dense"), cut).otherwise(sought).alias("part")))
+
+    made = chunks.select("id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(starts - 1).cast("long")), window)).alias("made"))
+    ticks = F.array_distinct(F.transform("made.part", lambda x: x["t"]))
+    whole = made.where(F.col("made").isNotNull() & (F.size("made.part") == cfg.w) & (F.size(ticks) == cfg.w))
+    return whole.select("id", F.col("made.t0").alias("t0"), F.transform("made.part", lambda x: x["v"]).alias("xs"))
 
 
 def with_moments(windows: DataFrame) -> DataFrame:
     """Sums of the first four powers."""
-    power = lambda k: total(F.transform("xs", lambda x: x if k == 1 else x * x if k == 2 else x * x * x if k == 3 else x * x * x * x))
-    return windows.select("*", *(power(k).alias(f"s{k}") for k in (1, 2, 3, 4)))
+    zero, xs = F.lit(0).cast("double"), F.col("xs")
+    sums = {
+        "s1": F.aggregate(xs, zero, lambda s, x: s + x),
+        "s2": F.aggregate(xs, zero, lambda s, x: s + x * x),
+        "s3": F.aggregate(xs, zero, lambda s, x: s + x * x * x),
+        "s4": F.aggregate(xs, zero, lambda s, x: s + x * x * x * x),
+    }
+    return windows.select("*", *(c.alias(k) for k, c in sums.items()))
 
 
 def with_flags(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
