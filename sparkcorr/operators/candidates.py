@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sparkcorr.config import CorrConfig
 from sparkcorr.functions.window_math import total
 from sparkcorr.operators import sketch as sk
+from sparkcorr.operators.blocks import block_neighbours
 from sparkcorr.operators.pairs import band_join
+from sparkcorr.shipping import ship
 
 
 def with_negatives(sketched: DataFrame) -> DataFrame:
@@ -65,22 +67,25 @@ def with_payload(pairs: DataFrame, windows: DataFrame) -> DataFrame:
     return pairs
 
 
-def vector_neighbours(vectors: DataFrame, tau: float, *, id_col: str, vector_col: str, negatives: bool = False) -> DataFrame:
-    """(id1, id2, sign, dist) of vectors of any table at ``tau`` or less, id1 < id2.
+def vector_neighbours(vectors: DataFrame, tau: float, *, id_col: str, vector_col: str, negatives: bool = False, blocks: int = 8) -> DataFrame:
+    """(id1, id2, sign, dist) of vectors of any table at ``tau`` or less, id1 < id2; ids are whole numbers.
 
     For unit vectors, ``tau = sqrt(2 (1 - r))`` means a cosine of r or more; with ``negatives``,
-    -r or less too.
+    -r or less too. Vectors meet in cells of the first two coordinates; as a wide radius leaves few
+    cells, each cell's vectors are dealt to ``blocks`` times ``blocks`` keys as well, and a pair meets
+    under one of them. Under a key, distances come from matrix products.
     """
-    base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("sketch"))
+    ship(vectors.sparkSession)
+    base = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("sketch"))
     probe = base.withColumn("sign", F.lit(1))
     if negatives:
         probe = probe.unionByName(base.select("id", F.transform("sketch", lambda x: -x).alias("sketch"), F.lit(-1).alias("sign")))
     left, right = _cells(base, probe, tau)
-    x = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns))
-    y = right.select(*(F.col(c).alias(f"y_{c}") for c in right.columns))
-    square = squared_distance(F.col("x_sketch"), F.col("y_sketch"))
-    on = [F.col("x_cell1") == F.col("y_cell1"), F.col("x_cell2") == F.col("y_cell2"), F.col("x_id") < F.col("y_id"), square <= F.lit(tau**2)]
-    return x.join(y, on).select(F.col("x_id").alias("id1"), F.col("y_id").alias("id2"), F.col("y_sign").alias("sign"), F.sqrt(square).alias("dist"))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left, right = left.withColumn("block1", own).withColumn("block2", every), right.withColumn("block2", own).withColumn("block1", every)
+    keys = ["cell1", "cell2", "block1", "block2"]
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: block_neighbours(a, b, tau), "id1 long, id2 long, sign int, dist double")
 
 
 def coordinate_votes(vectors: DataFrame, tau: float, min_votes: int, *, id_col: str, vector_col: str, dims: int) -> DataFrame:

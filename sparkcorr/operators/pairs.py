@@ -76,7 +76,7 @@ def validate(pairs: DataFrame, cfg: CorrConfig) -> DataFrame:
 
 
 def exact_correlated(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
-    """The exact plan. Spikes are pruned below the join, which changes no result when validating."""
+    """The exact plan as a join. Spikes are pruned below it, which changes no result when validating."""
     return validate(exact_pairs(windows, cfg, prune_spikes=cfg.corr_val), cfg)
 
 

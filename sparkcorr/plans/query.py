@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcorr.config import CorrConfig
 from sparkcorr.operators import candidates as cand
-from sparkcorr.operators import metrics, monitor, pairs
+from sparkcorr.operators import blocks, metrics, monitor, pairs
 from sparkcorr.operators import sketch as sk
 from sparkcorr.operators.windows import difference, flagged_windows
 
@@ -45,7 +45,7 @@ class CorrQuery:
     @cached_property
     def correlated(self) -> DataFrame:
         if self.method == "exact":
-            return pairs.exact_correlated(self.windows, self.cfg)
+            return blocks.correlated(self.windows, self.cfg) if self.cfg.corr_val else pairs.exact_correlated(self.windows, self.cfg)
         return pairs.validate(self.candidates, self.cfg)
 
     @cached_property
