@@ -90,6 +90,10 @@ class CorrConfig:
         n_w = max(0, (n - self.w) // self.step + 1)
         return {"n_w": n_w, "total_w": m * n_w, "mem_w": self.n_lags // self.step, "total_time": (n_w - 1) * self.step + self.w if n_w else 0}
 
+    def blocks_for(self, m: int, windows: int = 20_000) -> int:
+        """The ``id_blocks`` that keep a key's group to about so many windows a side, for m series."""
+        return max(1, -(-2 * m * self.retained // windows))
+
     def stretch_of_cell(self, cell: float) -> float:
         """The stretch that gave a stored cell size."""
         base = self.tau / self.cell_stretch

@@ -32,6 +32,8 @@ def run(series: DataFrame, cfg: CorrConfig, method: str, folder: str, *, dataset
     ``recall_by_window`` limits what is kept to the pairs (True) or the events (False); None keeps all.
     """
     spark = series.sparkSession
+    size = series.agg(F.count_distinct("id").alias("m"), (F.max("t") - F.min("t") + 1).alias("n")).first()
+    cfg = replace(cfg, id_blocks=max(cfg.id_blocks, cfg.blocks_for(size.m)))
     query = CorrQuery(series, cfg, method)
     began = time.perf_counter()
 
@@ -62,7 +64,6 @@ def run(series: DataFrame, cfg: CorrConfig, method: str, folder: str, *, dataset
                 artifacts.write(rows, kind, f"{folder}/{kind}")
 
     _, monit_time = _timed(follow)
-    size = series.agg(F.count_distinct("id").alias("m"), (F.max("t") - F.min("t") + 1).alias("n")).first()
     values = {k: getattr(cfg, k) for k in ("w", "step", "n_lags", "threshold", "neg_corr", "n_vectors", "cell_stretch", "grid_dimension", "freq_threshold", "sketch_norm", "seed", "seed_toggle", "corr_val")}
     counted = cfg.counts(size.n or 0, size.m)
     return values | {

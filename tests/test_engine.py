@@ -47,6 +47,7 @@ def test_configuration_rules():
     assert CorrConfig(w=48, step=0).step == CorrConfig(w=48, step=0).basic_window
     assert cfg(partitioned=True, n_vectors=8, freq_threshold=0.5).min_votes == 4
     assert cfg().with_(w=8, step=4).w == 8
+    assert cfg().blocks_for(10) == 1 and CorrConfig(w=168, step=12, n_lags=168).blocks_for(10_000) == 15
     assert cfg().counts(10, 3) == {"n_w": 4, "total_w": 12, "mem_w": 2, "total_time": 10}
 
 
