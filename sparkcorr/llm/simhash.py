@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = MAX_BITS, id_col: str =
     firsts = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), max_bits))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written first, so that the join's two sides are dealt alone and a large group's can be split
+    named = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     names = stash(rooted.join(named, "root").select("fp", "component_id"))
     return fps.join(names, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
