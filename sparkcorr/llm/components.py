@@ -10,12 +10,12 @@ from sparkcorr.llm.common import stash
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeats and null ends count for nothing. Each round is written to the shared folder, so
     that neither a lost executor nor a long chain of links makes the plan start over; chains
-    shorten by more than half a round.
+    shorten by more than half a round. So are the minima of each star: the join of links to them then
+    has two sides that are dealt alone, and a large star's links can be split over tasks.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, mark = stash(now), None
