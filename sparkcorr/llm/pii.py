@@ -4,7 +4,8 @@ Base identifiers are found in the text as it stands. Then transducers rewrite th
 homoglyphs and full-width forms to ASCII, invisible characters to nothing, spelled digits to
 digits, at/dot disguises to ``@`` and ``.`` -- each keeping, for every character that it emits,
 the source span that made it. Identifiers found in the rewritten text are mapped back to source
-spans, and added unless they overlap an identifier that is there already.
+spans, and added unless they lie within an identifier that is there already; one that goes beyond a
+base identifier, of which a disguise had left a part only, is added beside it.
 
 Edge cases: a null text counts as an empty one (no spans; the digest of the empty string);
 offsets are code points, ends exclusive; repeated rows are searched one by one; an empty table
@@ -47,7 +48,7 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 INVISIBLE = frozenset("­​‌‍⁠﻿")
 
 _DIGIT_WORD = "|".join(SPELLED)
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]{{1,2}}(?=[A-Za-z0-9])|(?=[.\s)]|$))){{3,}}", re.I)
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]{{1,2}}(?=[A-Za-z0-9])|(?![^\W_]))){{3,}}", re.I)
 _SPELLED_ONE = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD})(?![A-Za-z0-9])", re.I)
 _SPELLED_HINT = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD})[ ,-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z])", re.I)
 _BRACKETED = re.compile(r"\s?[(\[{<]\s?(at|dot|plus)\s?[)\]}>]\s?", re.I)
@@ -195,15 +196,16 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     traced = Traced(text)
     for apply in TRANSDUCERS:
         apply(traced)
+    order = lambda x: (x[0], KINDS.index(x[2]))
     added: list[Span] = []
     if traced.text != text:
-        taken = sorted(base)
-        for s, e, kind in find(traced.text):
-            start, end = traced.source(s, e)
-            if not any(start < b and a < end for a, b, _ in taken):
-                added.append((start, end, kind))
-                taken.append((start, end, kind))
-    order = lambda x: (x[0], KINDS.index(x[2]))
+        mapped = [(*traced.source(s, e), kind) for s, e, kind in find(traced.text)]
+        reach = 0
+        # by start, the longest first: what ends by then lies within one before it
+        for (s, e, kind), new in sorted([*((x, False) for x in base), *((x, True) for x in mapped)], key=lambda x: (x[0][0], -x[0][1], x[1], KINDS.index(x[0][2]))):
+            if new and e > reach:
+                added.append((s, e, kind))
+            reach = max(reach, e)
     return sorted(base, key=order), sorted(added, key=order)
 
 

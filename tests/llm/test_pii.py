@@ -63,6 +63,32 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert pii.masked(text) == text.replace(source, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    "text,kind,source",
+    [
+        ("mail jоhn@example.com now", "email", "jоhn@example.com"),
+        ("mail john@mail.exаmple.com now", "email", "john@mail.exаmple.com"),
+        ("mail john@example.co dot uk now", "email", "john@example.co dot uk"),
+        ("host 10.2.3.1４ up", "ip", "10.2.3.1４"),
+    ],
+)
+def test_a_disguise_that_leaves_a_base_identifier_is_added_whole(text, kind, source):
+    base, added = pii.spans(text)
+    assert base == pii.find(text) and len(base) == 1 and [(k, text[s:e]) for s, e, k in added] == [(kind, source)]
+    assert pii.masked(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["jоhn is john@example.com", "１ of +44 20 7946 0958"])
+def test_a_base_identifier_is_not_added_again(text):
+    assert len(pii.find(text)) == 1 and pii.spans(text) == (pii.find(text), [])
+
+
+@pytest.mark.parametrize("end", "!?;:\"']/…")
+def test_any_sign_ends_a_spelled_run(end):
+    text = "call +one two three four five six seven eight nine"
+    assert pii.masked(text + end) == "call <PHONE>" + end
+
+
 @pytest.mark.parametrize("text", ["we met at home dot", "one two buckle my shoe", "look at that. Then dot the i", "ten (at most) or [dot] so", "room one oh one"])
 def test_plain_prose_stays(text):
     assert pii.spans(text) == ([], []) and pii.masked(text) == text
