@@ -4,7 +4,9 @@ Numbers, units after them, and names (capitalised words inside a sentence) becom
 placeholders; windows of template tokens are hashed, and the documents' windows probe a hash table
 of the benchmark's. Each hit is then checked along its diagonal: literal tokens must agree, slots
 must be of one type, and one slot value of the item must always stand for one value in the
-document. So a question with other numbers or names is caught, and chance is not.
+document. So a question with other numbers or names is caught, and chance is not. All this is done
+twice, the second time with neighbouring names, and a number and its unit, joined to one slot, so
+that a name of another count of words, or a unit more or less, does not leave the diagonal.
 
 The benchmark is sent out in blocks of at most ``block_items`` items, one map over the documents a
 block; documents are never shuffled.
@@ -16,6 +18,7 @@ but can't be named, and count as -1; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import defaultdict
 
@@ -68,15 +71,27 @@ class Templates:
             kinds = np.where(after & unit[self.codes], UNIT, kinds)
             kinds = np.where((kinds == LITERAL) & self.capital[self.codes] & ~self.first, NAME, kinds)
         self.kinds = kinds
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
+        self.all_codes, self.at, self.counts = self.codes, np.arange(len(kinds)), np.ones(len(kinds), np.int64)
         self.bounds = np.searchsorted(self.text_of, np.arange(len(texts) + 1))
 
+    def joined(self) -> Templates:
+        """With neighbouring names, and a number and its unit, as one token each."""
+        goes_on = np.zeros(len(self.kinds), bool)
+        goes_on[1:] = (self.text_of[1:] == self.text_of[:-1]) & ((self.kinds[1:] == UNIT) | (self.kinds[1:] == NAME) & (self.kinds[:-1] == NAME))
+        out = copy.copy(self)
+        out.at = np.flatnonzero(~goes_on)
+        out.counts = np.diff(np.append(out.at, len(self.kinds)))
+        out.codes, out.kinds, out.text_of, out.first = (c[out.at] for c in (self.codes, self.kinds, self.text_of, self.first))
+        out.bounds = np.searchsorted(out.text_of, np.arange(len(self.bounds)))
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash, start) of each window inside one text with enough literal tokens."""
         n = len(self.codes) - WINDOW + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in self.words), np.uint64, len(self.words))
-        canon = np.where(self.kinds == LITERAL, hashes[self.codes], _PLACEHOLDER[self.kinds])
+        canon = np.where(self.kinds == LITERAL, self.hashes[self.codes], _PLACEHOLDER[self.kinds])
         rolled = np.zeros(n, np.uint64)
         for k in range(WINDOW):
             rolled = rolled * _FACTOR + canon[k : k + n]
@@ -86,19 +101,24 @@ class Templates:
         at = np.flatnonzero(ok)
         return rolled[at], at
 
-    def token(self, at: int) -> tuple[str, int, bool]:
-        """Lower-cased string, kind, and whether it opens a sentence with a capital."""
-        code = self.codes[at]
-        return self.words[code].lower(), int(self.kinds[at]), bool(self.first[at] and self.capital[code])
+    def token(self, at: int) -> tuple[str, int, bool, int]:
+        """Lower-cased string, kind, whether it opens a sentence with a capital, and words in it."""
+        first, count = int(self.at[at]), int(self.counts[at])
+        string = " ".join(self.words[c] for c in self.all_codes[first : first + count]).lower()
+        return string, int(self.kinds[at]), bool(self.first[at] and self.capital[self.codes[at]]), count
 
 
 class Block:
-    """Benchmark items and the hash table of their windows."""
+    """Benchmark items and the hash table of their windows; ``joined`` has them with slots joined."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], t: Templates | None = None):
         self.ids = [-1 if i is None else i for i, _ in items]
-        t = Templates([text for _, text in items])
+        self.joined = None
+        if t is None:
+            t = Templates([text for _, text in items])
+            self.joined = Block(items, t.joined())
         self.items = [[t.token(k) for k in range(t.bounds[i], t.bounds[i + 1])] for i in range(len(items))]
+        self.sizes = [sum(x[3] for x in tokens) for tokens in self.items]
         hashes, at = t.windows()
         order = np.argsort(hashes, kind="stable")
         self.hashes, at = hashes[order], at[order]
@@ -118,7 +138,7 @@ class Block:
 
 
 def consistent_run(item: list[tuple], doc: list[tuple]) -> int:
-    """Tokens of the longest run in which aligned tokens agree and slots are consistent.
+    """The item's words in the longest run in which aligned tokens agree and slots are consistent.
 
     A run counts only if at least half of it is literal.
     """
@@ -134,14 +154,21 @@ def consistent_run(item: list[tuple], doc: list[tuple]) -> int:
             best, length, literal, there, back = max(best, length if 2 * literal >= length else 0), 0, 0, {}, {}
         if slot:
             there[a[0]], back[b[0]] = b[0], a[0]
-        length += 1
-        literal += not slot or a[0] == b[0]
+        length += a[3]
+        literal += a[3] if not slot or a[0] == b[0] else 0
     return max(best, length if 2 * literal >= length else 0)
 
 
 def matches(texts: list[str | None], block: Block) -> list[dict[int, int]]:
     """For each text, the items that it holds with the length of the longest consistent run."""
     t = Templates(texts)
+    out: list[dict[int, int]] = [{} for _ in texts]
+    _match(t, block, out)
+    _match(t.joined(), block.joined, out)
+    return out
+
+
+def _match(t: Templates, block: Block, out: list[dict[int, int]]) -> None:
     hashes, at = t.windows()
     hits = block.probe(hashes)
     diagonals: dict[int, set[tuple[int, int]]] = defaultdict(set)
@@ -150,7 +177,6 @@ def matches(texts: list[str | None], block: Block) -> list[dict[int, int]]:
         lo, hi = np.searchsorted(block.hashes, np.uint64(h)), np.searchsorted(block.hashes, np.uint64(h), "right")
         for k in range(lo, hi):
             diagonals[text].add((int(block.item[k]), start - int(block.place[k])))
-    out: list[dict[int, int]] = [{} for _ in texts]
     for text, found in diagonals.items():
         lo, hi = int(t.bounds[text]), int(t.bounds[text + 1])
         for item, start in found:
@@ -158,9 +184,8 @@ def matches(texts: list[str | None], block: Block) -> list[dict[int, int]]:
             skip = max(0, lo - start)
             there = [t.token(k) for k in range(start + skip, min(hi, start + len(tokens)))]
             run = consistent_run(tokens[skip : skip + len(there)], there)
-            if run >= min(MIN_RUN, len(tokens)):
+            if run >= min(MIN_RUN, block.sizes[item]):
                 out[text][block.ids[item]] = max(run, out[text].get(block.ids[item], 0))
-    return out
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> list[Block]:

@@ -14,6 +14,16 @@ def test_reparameterised_questions_are_caught():
     assert 1 in found("so on Monday the farmer Carol sold 15 lb of apples to Dave and then Carol bought 9 sheep from Dave in the old market town")
 
 
+@pytest.mark.parametrize("old,new", [("Alice", "Mary Ann"), ("Bob", "Jean Luc Picard"), ("12 kg", "15"), ("3 sheep", "3 kg sheep")])
+def test_slots_of_another_count_of_words_are_caught(old, new):
+    assert found("So. " + ITEM.replace(old, new))[1] >= 20
+    assert 1 in found("So. " + ITEM, [(1, ITEM.replace(old, new))])
+
+
+def test_joined_slots_must_be_consistent():
+    assert not found("the farmer Mary Ann sold 15 lb of apples to Jean Luc and then Erin Lee bought 9 sheep from Frank in the old")
+
+
 def test_inconsistent_slots_are_not_one_question():
     mixed = "the farmer Carol sold 15 lb of apples to Dave and then Erin bought 9 sheep from Frank in the old"
     assert not found(mixed)
