@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from sparkcorr.llm import substrings as s
@@ -68,3 +69,60 @@ def test_odd_rows_and_kept_bytes(spark, odd_docs, no_docs):
     assert s.remove_repeats(no_docs).count() == 0
     kept = {r.doc_id: bytes(r.kept) for r in s.remove_repeats(spark.createDataFrame([(1, "x" * 10 + "y" * 60), (2, "y" * 60 + "z")], "doc_id long, text string"), with_text=True).collect()}
     assert kept == {1: b"x" * 10 + b"y" * 60, 2: b"z"}
+
+
+def phrases(seed, n=250):
+    """A phrase of 49 bytes, and longer ones, between sides of a few letters, in most texts."""
+    rng = random.Random(seed)
+    side = lambda k: "".join(rng.choice("ab") for _ in range(rng.randrange(k)))
+    phrase = ["".join(rng.choice("cdefgh") for _ in range(k)) for k in (33, 49, 49, 52, 90)]
+    return [(i, side(30) + rng.choice(phrase) + side(8) + (rng.choice(phrase) if i % 3 else "") + side(30)) for i in range(n)]
+
+
+@pytest.mark.parametrize("many", [3, 64])
+def test_anchors_in_many_contexts(spark, monkeypatch, many):
+    monkeypatch.setattr(s, "MANY", many)
+    monkeypatch.setattr(s, "TOO_MANY", many)
+    rows = phrases(many)
+    rng = random.Random(5)
+    rng.shuffle(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [2, 8])
+def test_weak_hashes(spark, monkeypatch, bits):
+    """Anchors told apart by few bits, or contexts by one of their two hashes: the same bytes go."""
+    strong = s.Slice._hash
+    for weak in (s._A, s._B, s._C):
+        monkeypatch.setattr(s.Slice, "_hash", lambda self, words, offsets, factor, weak=weak: strong(self, words, offsets, factor) & s.np.uint64((1 << bits) - 1 if factor == weak else 0xFFFFFFFFFFFFFFFF))
+        rows = phrases(bits)
+        told = [bytes(t, "utf8") for _, t in rows]
+        groups = s.np.zeros(len(rows), s.np.int64)
+        docs = s.np.arange(len(rows))
+        batch = s.pa.RecordBatch.from_arrays([s.pa.array(docs), s.pa.array(told, s.pa.binary()), s.pa.array(groups)], names=["doc", "text", "grp"])
+        dealt = s.pa.Table.from_batches(list(s._deal(1, iter([batch]))))
+        met = s._judge(dealt)
+        free = [b for k, b in zip(met.column("kind").to_pylist(), met.column("blob").to_pylist()) if k == s.FREE]
+        more = [s._judge_free(s.pa.table({"blob": free}))] if free else []
+        told_rows = s.pa.concat_tables([met, *more])
+        told_rows = told_rows.filter(s.pa.compute.equal(told_rows.column("kind"), s.TOLD))
+        documents = s.pa.table({"doc": docs, "text": s.pa.array(told, s.pa.binary()), "grp": groups})
+        asked = s._ask(4, documents, told_rows)
+        found = s._sort_shard(asked) if asked.num_rows else asked
+        every = s.pa.concat_tables([told_rows.select(["grp", "blob"]), *([found.select(["grp", "blob"])] if asked.num_rows else [])])
+        out = s._cut(False, documents, every).drop_columns(["kept"]).to_pylist()
+        assert sorted((tuple(r.values()) for r in out), key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 1000])
+def test_strings_of_names_are_sorted_recursively(alphabet):
+    rng = random.Random(alphabet)
+    for n in (1, 2, 10, 200, 2000):
+        d = [rng.randrange(1, alphabet + 1) for _ in range(n)] * rng.choice([1, 2]) + [0]
+        assert suffix_array_of(d) == sorted(range(len(d)), key=lambda i: d[i:])
+
+
+def suffix_array_of(numbers):
+    from sparkcorr.llm.suffix_array import _sort_numbers
+
+    return _sort_numbers(numbers, max(numbers) + 1)
