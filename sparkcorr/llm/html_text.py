@@ -38,28 +38,79 @@ FRAME_WORDS = frozenset(
 )
 FRAME_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"})
 PROSE = INLINE - {"a"} | frozenset("p br h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd".split())
+#: The other elements of HTML; tags of any other name count as one.
+KNOWN = NEVER | INLINE | VOID | PROSE | frozenset("html body article main section div address hgroup ul ol li dir table caption thead tbody tfoot tr th td colgroup center details summary hr legend datalist optgroup output progress meter search video picture map frame frameset slot".split())
 #: Score of a word, and of tags, where nothing is learned; tags of prose then score nothing.
 DEFAULT_WEIGHTS = {"word": 0.5, "tag": -2.0, "open article": -8.0, "close article": -8.0}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 Token = tuple[str, str]  # kind (open, close, text), name or text
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place of the ``>`` that closes a tag, outside quotes; -1 if there is none."""
+    while True:
+        stop = _STOP.search(page, at)
+        if not stop:
+            return -1
+        if stop[0] == ">":
+            return stop.start()
+        at = page.find(stop[0], stop.end()) + 1
+        if not at:
+            return -1
+
+
 def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, name or raw text, attributes); comments, declarations and raw elements are gone."""
-    out = []
-    for m in _TOKEN.finditer(page):
-        if m["text"] is not None:
-            out.append(("text", m["text"], ""))
-        elif m["name"]:
-            out.append(("close" if m["close"] else "open", m["name"].lower(), m["rest"]))
-        elif m["raw"] is None and not m[0].startswith("<!--"):
+    """(kind, name or raw text, attributes); comments, declarations and raw elements are gone.
+
+    One pass: a ``<`` that opens nothing, or a tag that nothing closes, is text. Where a tag's quotes leave it
+    unclosed, quotes count for nothing from there on, so that no scan to the end is made twice.
+    """
+    out: list[tuple[str, str, str]] = []
+    at, n = 0, len(page)
+    quotes = True
+    last = page.rfind(">")
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at:
+            out.append(("text", page[at:begin], ""))
+        if begin == n:
+            break
+        at = begin
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
             continue
+        tag = _OPEN.match(page, at)
+        if tag is None:
+            end = page.find(">", at) if page[at + 1 : at + 2] in ("!", "?", "/") and at < last else -1
+            if end < 0:
+                out.append(("text", "<", ""))
+                at += 1
+            else:
+                at = end + 1
+            continue
+        end = _tag_end(page, tag.end()) if quotes and at < last else -1
+        if end < 0:
+            quotes = False
+            end = page.find(">", tag.end()) if at < last else -1
+            if end < 0:
+                out.append(("text", "<", ""))
+                at += 1
+                continue
+        name = tag[2].lower()
+        at = end + 1
+        if name in _RAW_END and not tag[1]:
+            close = _RAW_END[name].search(page, at)
+            at = close.end() if close else n
+            continue
+        out.append(("close" if tag[1] else "open", name, page[tag.end() : end]))
     return out
 
 
@@ -80,35 +131,33 @@ def _left_out(name: str, rest: str) -> bool:
 def _skips(found: list[tuple[str, str, str]]) -> list[bool]:
     """Whether each token belongs to an element that is left out."""
     out = [False] * len(found)
-    closing: dict[str, list[int]] = {}
+    last = len(found)
+    end_of = [-1] * last  # of each opening tag, the closing one, by depth among tags of its name
+    waiting: dict[str, list[int]] = {}
     for k, (kind, name, _) in enumerate(found):
-        if kind != "text":
-            closing.setdefault(name, []).append(k)
+        if kind == "open" and name not in VOID:
+            waiting.setdefault(name, []).append(k)
+        elif kind == "close" and waiting.get(name):
+            end_of[waiting[name].pop()] = k
     k = 0
-    while k < len(found):
+    while k < last:
         kind, name, rest = found[k]
         if kind != "open" or not _left_out(name, rest):
             k += 1
             continue
-        end = k
-        if name not in VOID:
-            depth = 0
-            for j in closing[name]:
-                if j < k:
-                    continue
-                depth += 1 if found[j][0] == "open" else -1
-                if depth == 0:
-                    end = j
-                    break
-            else:
-                end = k + 1 if k + 1 < len(found) and found[k + 1][0] == "text" else k
+        if name in VOID:
+            end = k
+        elif end_of[k] >= 0:
+            end = end_of[k]
+        else:
+            end = k + 1 if k + 1 < last and found[k + 1][0] == "text" else k
         out[k : end + 1] = [True] * (end + 1 - k)
         k = end + 1
     return out
 
 
 def _key(kind: str, name: str) -> str:
-    return "word" if kind == "text" else f"{kind} {name}"
+    return "word" if kind == "text" else f"{kind} {name if name in KNOWN else '?'}"
 
 
 def label_counts(page: str | None) -> Counter:
@@ -138,7 +187,8 @@ def learn_weights(pages: DataFrame, *, max_pages: int = 2_000, id_col: str = "pa
         return list(zip(*rows)) if rows else [[], [], []]
 
     counted = map_batches(sample, count, "key string, inside boolean, n long")
-    rows = counted.groupBy("key").agg(*(F.sum(F.when(F.col("inside") == F.lit(side), F.col("n")).otherwise(0)).alias(name) for side, name in ((True, "within"), (False, "without")))).orderBy(F.desc(F.col("within") + F.col("without")), "key").limit(2_000).collect()
+    sums = counted.groupBy("key").agg(*(F.sum(F.when(F.col("inside") == F.lit(side), F.col("n")).otherwise(0)).alias(name) for side, name in ((True, "within"), (False, "without"))))
+    rows = sums.collect()  # at most one a kind of tag that is known
     total = [sum(r[k] for r in rows) for k in ("within", "without")]
     if not all(total):
         return DEFAULT_WEIGHTS
@@ -171,7 +221,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif kind == "text":
             scores.append(word * len(value.split()))
         else:
-            scores.append(weights.get(f"{kind} {value}", 0.0 if value in PROSE else other))
+            scores.append(weights.get(_key(kind, value), 0.0 if value in PROSE else other))
     start, end = best_region(scores)
     blocks, now = [], []
     for k in range(start, end):

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -55,3 +56,47 @@ def test_odd_pages(spark):
     assert len(got) == 7 and [r.text for r in got if r.page_id == 2] == ["no tags at all, only words"] * 2
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (None, 1, 5))
     assert h.extract(odd.limit(0)).count() == 0
+
+
+HOSTILE = ["<a x ", "<a \">\" ", "<a \" ' ", "<a ' >", "<!x ", "</", "<", "<script>", "<!--", "<div class=comment>x</div>", "<div class=ad>", "<p><div id=comments>", "</div>", "<nav>y", "&amp", "<a href='\">"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_pages_take_linear_time(part):
+    page = "<article><p>Some words here</p></article>" + part * (400_000 // len(part))
+    began = time.process_time()
+    h.main_text(page, h.DEFAULT_WEIGHTS)
+    h.label_counts(page)
+    assert time.process_time() - began < 10
+
+
+def test_quotes_hide_tags_ends():
+    assert h.tokens('<p title="a > b">x</p><i a=\'">\'>y') == [("open", "p", ' title="a > b"'), ("text", "x", ""), ("close", "p", ""), ("open", "i", " a='\">'"), ("text", "y", "")]
+    assert h.tokens('<p a="x>y</p>') == [("open", "p", ' a="x'), ("text", "y", ""), ("close", "p", "")]
+    assert h.tokens("a <3 b <b") == [("text", "a ", ""), ("text", "<", ""), ("text", "3 b ", ""), ("text", "<", ""), ("text", "b", "")]
+
+
+INSIDE = [
+    '<div class="comments"><p>{}</p><p>{}</p></div>',
+    '<section id="comment-list"><div class="reply"><p>{}</p></div><p>{}</p></section>',
+    '<aside><h2>{}</h2><p>{}</p></aside>',
+    '<div class="advert-box"><p>{}</p><div>{}</div></div>',
+    '<p class="cookie-notice">{} {}</p>',
+    '<div role="complementary"><p>{}</p>{}</div>',
+    '<form><label>{}</label><textarea>{}</textarea></form>',
+    '<div hidden><p>{}</p>{}</div>',
+    '<footer><p>{}</p>{}</footer>',
+]
+
+
+def test_notices_adverts_and_comments_inside_the_content(spark, sf_dir):
+    """Given pages with one such element put at a random place of the article: the same text."""
+    rng = random.Random(9)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = h.learn_weights(pages)
+    for k, r in enumerate(pages.limit(200).collect()):
+        words = [" ".join(rng.choice(truth(r.html).split()) for _ in range(rng.randrange(3, 60))) for _ in range(2)]
+        places = [m.start() for m in re.finditer(r"<p>", r.html) if r.html.index("<article>") < m.start() < r.html.index("</article>")]
+        at = rng.choice(places)
+        page = r.html[:at] + INSIDE[k % len(INSIDE)].format(*map(html.escape, words)) + r.html[at:]
+        assert h.main_text(page, weights) == truth(r.html)
