@@ -35,6 +35,8 @@ GENERATOR = 0b101011100011  # of the cyclic (23, 12) Golay code
 #: Bytes of keys a bucket should hold; fingerprints of one key in one piece of work at most.
 BUCKET_BYTES, BLOCK = 32 << 20, 4096
 SMALL = 8
+#: Fingerprints of one key in a chunk beyond which they bypass the key's bucket; fingerprints in a chunk; bytes of a bundle of pieces.
+MANY, CHUNK, BUNDLE = 256, 20_000, 4 << 20
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -141,104 +143,158 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
 
 
-LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("work", pa.binary())])
-
-
-def _links_in_bucket(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> pa.Table:
+#: Rows between stages: keys with fingerprints for a bucket, marked keys, and keys with fingerprints of marked ones.
+ENTRIES, MARKS, FREE = range(3)
+DEALT_DDL = "bucket int, kind int, keys binary, fps binary"
+#: Links; and, with a key, fingerprints ``u`` of a key that too many share.
+LINKS_DDL = "u long, v long, key long"
+
+
+def _blobs(bucket: np.ndarray, kind: int, keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(bucket, kind="stable")
+    keys, fps, bucket = keys[order], fps[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(bucket[a]), kind, keys[a:b].tobytes(), fps[a:b].tobytes()
+
+
+def _deal(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with their fingerprints, by bucket; a key of many in a chunk is marked, and its fingerprints are dealt by themselves."""
+    for batch in batches:
+        fps = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(fps), CHUNK):
+            part = fps[at : at + CHUNK]
+            keys, owners = fuzzy_keys(part)
+            of = part[owners]
+            kinds, code, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            bucket = (kinds * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(buckets)
+            many = counts > MANY
+            free = many[code]
+            rows = list(_blobs(bucket[code[~free]], ENTRIES, keys[~free], of[~free]))
+            rows += _blobs(bucket[many], MARKS, kinds[many], np.zeros(int(many.sum()), np.int64))
+            rows += _blobs((of[free].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets), FREE, keys[free], of[free])
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "fps"])
+
+
+def _links_in_bucket(table: pa.Table, max_bits: int) -> pa.Table:
+    """Links of the keys of a bucket that at most ``BLOCK`` fingerprints share; the fingerprints of others."""
+    kinds, key_blobs, fp_blobs = (table.column(n).to_pylist() for n in ("kind", "keys", "fps"))
+    take = lambda blobs, kind, dtype: np.frombuffer(b"".join(b for b, k in zip(blobs, kinds) if k == kind), dtype)
+    keys, fps = take(key_blobs, ENTRIES, np.uint32), take(fp_blobs, ENTRIES, np.int64)
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
     sizes = np.diff(edge)
-    us, vs, work = [], [], []
+    shared = (sizes > BLOCK) | np.isin(keys[edge[:-1]], take(key_blobs, MARKS, np.uint32))
+    free = np.repeat(shared, sizes)
     of_row = np.repeat(sizes, sizes)
-    small = of_row <= SMALL
+    us, vs = [fps[:0]], [fps[:0]]
+    small = (of_row <= SMALL) & ~free
     k, f = keys[small & (of_row > 1)], fps[small & (of_row > 1)]
     for d in range(1, SMALL):
         hit = (k[d:] == k[:-d]) & (_apart(f[d:], f[:-d]) <= max_bits)
         us.append(f[:-d][hit])
         vs.append(f[d:][hit])
-    for g in np.flatnonzero(sizes > SMALL):
-        group = fps[edge[g] : edge[g + 1]]
-        if len(group) <= BLOCK:
-            u, v = forest(group, max_bits)
-            us.append(u)
-            vs.append(v)
-            continue
-        blocks = [group[at : at + BLOCK // 2] for at in range(0, len(group), BLOCK // 2)]
-        work += [np.concatenate((a, b)).tobytes() for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
+    for g in np.flatnonzero((sizes > SMALL) & ~shared):
+        u, v = forest(fps[edge[g] : edge[g + 1]], max_bits)
+        us.append(u)
+        vs.append(v)
     u, v = np.concatenate(us), np.concatenate(vs)
     pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
-    columns = [
-        pa.array(np.concatenate((pairs[:, 0], np.zeros(len(work), np.int64)))),
-        pa.array(np.concatenate((pairs[:, 1], np.zeros(len(work), np.int64)))),
-        pa.array([None] * len(pairs) + work, pa.binary()),
-    ]
-    return pa.Table.from_arrays(columns, schema=LINKS)
+    free_keys = np.concatenate((keys[free], take(key_blobs, FREE, np.uint32))).astype(np.int64)
+    free_fps = np.concatenate((fps[free], take(fp_blobs, FREE, np.int64)))
+    none = pa.nulls(len(free_keys), pa.int64())
+    columns = (
+        pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(free_fps)]),
+        pa.concat_arrays([pa.array(pairs[:, 1]), none]),
+        pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(free_keys)]),
+    )
+    return pa.Table.from_arrays(columns, names=["u", "v", "key"])
+
+
+def _links_in_pieces(table: pa.Table, max_bits: int) -> pa.Table:
+    """Links of the fingerprints of each piece of a bundle, a piece being a key's one or two blocks."""
+    key, i, j, fps = (table.column(n).to_numpy() for n in ("key", "i", "j", "fp"))
+    order = np.lexsort((fps, j, i, key))
+    key, i, j, fps = key[order], i[order], j[order], fps[order]
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+    found = [forest(fps[a:b], max_bits) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.table({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v) of fingerprints at ``max_bits`` or fewer, enough to span every component.
 
-    ``distinct`` has each fingerprint once. Keys travel packed, a blob for each bucket. A key that
-    more than ``BLOCK`` fingerprints share is dealt out by pairs of blocks to other tasks.
+    ``distinct`` has each fingerprint once. Keys travel packed, a blob for each bucket. The fingerprints of
+    a key that more than ``BLOCK`` share are dealt to blocks, and each two blocks meet in one piece of work;
+    no task holds a whole large key, nor makes its pieces.
     """
-    buckets = max(256, -(-distinct.count() * 86 * 12 // BUCKET_BYTES))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 20_000):
-                part = fps[at : at + 20_000]
-                keys, owners = fuzzy_keys(part)
-                bucket = (keys * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(buckets)
-                order = np.argsort(bucket, kind="stable")
-                keys, of, bucket = keys[order], part[owners[order]], bucket[order]
-                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                rows = [(int(bucket[a]), keys[a:b].tobytes(), of[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "fps"])
-
-    def link(group: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
-        fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.int64)
-        return _links_in_bucket(keys, fps, max_bits)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                u, v = forest(np.frombuffer(blob.as_py(), np.int64), max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
     ship(distinct.sparkSession)
-    dealt = distinct.select("fp").mapInArrow(deal, "bucket int, keys binary, fps binary")
-    found = stash(dealt.groupBy("bucket").applyInArrow(link, "u long, v long, work binary"))
-    hot = found.where("work is not null").select("work").repartition(F.xxhash64("work")).mapInArrow(compare, "u long, v long")
-    return found.where("work is null").select("u", "v").unionByName(hot)
+    buckets = max(256, -(-distinct.count() * 86 * 12 // BUCKET_BYTES))
+    dealt = distinct.select("fp").mapInArrow(lambda b: _deal(buckets, b), DEALT_DDL)
+    found = stash(dealt.groupBy("bucket").applyInArrow(lambda t: _links_in_bucket(t, max_bits), LINKS_DDL))
+    free = found.where("key is not null").select("key", F.col("u").alias("fp"))
+    half = BLOCK // 2
+    blocks = stash(free.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks")))
+    size = blocks.agg(F.sum(F.col("blocks").cast("long") * F.col("blocks") * half * 12)).first()[0] or 0
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))).alias("other")
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pieces = free.join(blocks, "key").select("key", "fp", block.alias("block"), other).select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(64, -(-size // BUNDLE)))).alias("bundle")
+    hot = pieces.groupBy(bundle).applyInArrow(lambda t: _links_in_pieces(t, max_bits), "u long, v long")
+    return found.where("key is null").select("u", "v").unionByName(hot)
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, *, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; the component is named by its least id."""
+def _named(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``fps`` (doc_id, fp)."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys meet pairs of at most four differing bits")
-    fps = stash(fingerprints(docs, id_col, text_col))
     firsts = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), max_bits))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # written first, so that the join's two sides are dealt alone and a large group's can be split
     named = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    names = stash(rooted.join(named, "root").select("fp", "component_id"))
-    return fps.join(names, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    return stash(rooted.join(named, "root").select("fp", "root", "component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component. Rows that share an id are one document,
-    of which one row stays; rows without an id stay."""
-    kept = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct())
+def near_duplicates(docs: DataFrame, *, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; the component is named by its least id."""
+    fps = stash(fingerprints(docs, id_col, text_col))
+    return fps.join(_named(fps, max_bits), "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the least id, and of several with
+    that id the one whose text has the least hash. Rows without an id stay. Of rows with one id and one text that stand for
+    a component, which differ in other columns at most, the one with the least hash stays."""
+    text = F.col("text").cast("string")
+    hashed = map_batches(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")),
+        lambda ids, hashes, texts: [ids, hashes, list(map(fingerprint, texts))],
+        "doc_id long, th long, fp long",
+    )
+    fps = stash(hashed)
+    row = F.struct("doc_id", "th")
+    rooted = fps.where("doc_id is not null").join(_named(fps, max_bits).select("fp", "root"), "fp")
+    # partial counts of rows go before the shuffle, so that a component of many copies is one entry a task
+    counted = rooted.groupBy("root", "doc_id", "th").count()
+    winners = stash(counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "count"), row).alias("w")).select("w.*"))
+    alone, repeated = winners.where("count = 1"), winners.where("count > 1").select("doc_id", "th")
+    rows = docs.withColumn("__th", F.xxhash64(docs["text"].cast("string")))
     # a merge join at every size: texts move once, and ids are never sent to all executors
-    out = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns))
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        return out
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    match = lambda side: (rows["doc_id"].cast("long") == side["doc_id"]) & (rows["__th"] == side["th"])
+    out = docs.where(F.col("doc_id").isNull())
+    if repeated.isEmpty():
+        kept = winners.select("doc_id", "th").hint("merge")
+        return out.unionByName(rows.join(kept, match(kept), "left_semi").drop("__th"))
+    kept = alone.select("doc_id", "th").hint("merge")
+    out = out.unionByName(rows.join(kept, match(kept), "left_semi").drop("__th"))
+    several = rows.join(repeated.hint("merge"), match(repeated), "left_semi")
+    whole = F.struct(*(several[c] for c in docs.columns))
+    order = F.xxhash64(*(several[c] for c, kind in docs.dtypes if not kind.startswith("map")))
+    return out.unionByName(several.groupBy("doc_id", "__th").agg(F.min_by(whole, order).alias("row")).select("row.*"))

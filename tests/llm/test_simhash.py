@@ -79,14 +79,18 @@ def test_hot_keys_are_split_and_lose_no_link(spark, monkeypatch):
     fps = clustered(300)
     signed = np.array(fps, np.uint64).view(np.int64)
     distinct = spark.createDataFrame([(int(f),) for f in signed], "fp long")
-    keys, owners = s.fuzzy_keys(signed)
-    monkeypatch.setattr(s, "BLOCK", 40)
-    table = s._links_in_bucket(keys, signed[owners], 4)
-    assert table.column("work").null_count < table.num_rows
     want = brute_groups(fps)
-    roots = {r.node: r.root for r in components(s.links(distinct)).collect()}
-    got = [roots.get(int(f), int(f)) for f in signed]
-    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    for block, many in ((40, 256), (40, 20), (4096, 10**9)):
+        monkeypatch.setattr(s, "BLOCK", block)
+        monkeypatch.setattr(s, "MANY", many)
+        batch = s.pa.RecordBatch.from_arrays([s.pa.array(signed)], names=["fp"])
+        dealt = s.pa.Table.from_batches(list(s._deal(1, iter([batch]))))
+        found = s._links_in_bucket(dealt, 4).column("key")
+        assert (found.null_count < len(found)) == (block == 40)
+        assert (s.MARKS in dealt.column("kind").to_pylist()) == (many == 20)
+        roots = {r.node: r.root for r in components(s.links(distinct)).collect()}
+        got = [roots.get(int(f), int(f)) for f in signed]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
 def test_components_of_chains_stars_and_odd_edges(spark):
@@ -108,6 +112,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5, 6]
 
 
+def test_rows_that_share_an_id_keep_their_distinct_texts(spark):
+    words = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(4)]
+    rows = [(1, words[0], "a"), (1, words[1], "b"), (1, words[1], "c"), (2, words[1], "d"), (3, words[2], "e"), (3, words[2], "e"), (None, words[2], "f"), (4, words[3], "g")]
+    for seed in range(3):
+        docs = spark.createDataFrame(sorted(rows, key=lambda r: hash((seed, r[2]))), "doc_id long, text string, other string").repartition(3)
+        got = sorted(tuple(r) for r in s.one_of_each(docs).collect() if r.doc_id)
+        assert [r[:2] for r in got] == sorted([(1, words[0]), (1, words[1]), (3, words[2]), (4, words[3])])
+        assert seed == 0 or got == before
+        before = got
+
+
 def test_one_of_each_keeps_every_group(documents):
     rows = s.near_duplicates(documents).collect()
     assert {r.doc_id for r in s.one_of_each(documents).collect()} == {r.component_id for r in rows}
