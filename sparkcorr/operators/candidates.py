@@ -50,7 +50,11 @@ def candidates(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
     Whole sketches propose with one vote; partitioned ones with a vote a grid, of which
     ``freq_threshold`` must agree.
     """
-    sketched = sk.sketches(windows.where(~F.col("is_const")), cfg).select("id", "t0", "sketch")
+    return proposed(sk.sketches(windows.where(~F.col("is_const")), cfg).select("id", "t0", "sketch"), cfg)
+
+
+def proposed(sketched: DataFrame, cfg: CorrConfig) -> DataFrame:
+    """The candidates of sketches (id, t0, sketch)."""
     if not cfg.partitioned:
         return neighbours(sketched, cfg).withColumn("votes", F.lit(1).cast("long"))
     found = neighbours(sk.chunks(sketched, cfg), cfg, keys=("grid",))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcorr.config import CorrConfig
-from sparkcorr.functions.window_math import canonical_pair, dot, passes, pearson, var_sum
+from sparkcorr.functions.window_math import canonical_pair, dot, passes, pearson
 
 
 def lag_buckets(left: DataFrame, right: DataFrame, cfg: CorrConfig) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -98,6 +100,17 @@ def counters(pairs: DataFrame, cfg: CorrConfig) -> DataFrame:
     )
 
 
-def non_constant_ssd(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
-    """(id, t0, ssd): each window's sum of squared deviations."""
-    return windows.select("id", "t0", var_sum(cfg.w, F.col("s1"), F.col("s2")).alias("ssd"))
+def exact_counts(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
+    """``total_candidates`` and ``tested`` of the exact plan, one row, from counts of windows a start; no pair is made.
+
+    Windows at starts t1 > t2 pair all with all, those at one start by ids in order.
+    """
+    kept = windows.where(~F.col("is_const"))
+    starts = kept.groupBy("t0").agg(F.count("*").alias("n"), F.count_if(~F.col("is_spiked")).alias("k"))
+    left, right, keys = lag_buckets(starts, starts, replace(cfg, id_blocks=1))
+    x = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns))
+    y = right.select(*(F.col(c).alias(f"y_{c}") for c in right.columns))
+    near = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys] + [F.col("y_t0").between(F.col("x_t0") - cfg.n_lags, F.col("x_t0"))]
+    both = lambda n: F.when(F.col("y_t0") < F.col("x_t0"), F.col(f"x_{n}") * F.col(f"y_{n}")).otherwise(F.floor(F.col(f"x_{n}") * (F.col(f"x_{n}") - 1) / 2))
+    total = lambda n: F.coalesce(F.sum(both(n).cast("long")), F.lit(0).cast("long"))
+    return x.join(y, near).agg(total("n").alias("total_candidates"), total("k").alias("tested"))

@@ -17,13 +17,14 @@ from sparkcorr.operators import candidates as cand
 from sparkcorr.operators import metrics, monitor, pairs, search
 from sparkcorr.operators import sketch as sk
 from sparkcorr.operators import windows as win
+from sparkcorr.plans import experiment
 from sparkcorr.plans.query import CorrQuery
 from sparkcorr.sources import artifacts
 from sparkcorr.sources import series as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-HOURS, WEEKS, DAYS = 720, 357, 2405
+HOURS = 720  # up to which reports count what holds at the end
 CFG = CorrConfig(w=48, step=12, n_lags=48, threshold=0.3, n_vectors=8)
 ABS = replace(CFG, neg_corr=True)
 DAILY = CorrConfig(w=28, step=7, n_lags=0, threshold=0.5)
@@ -35,15 +36,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.counts_by(_table(spark, sf_dir, "events"), "event_type", "ts", "2024-01-01 00:00:00", 3600, HOURS)
+    return src.counts_by(_table(spark, sf_dir, "events"), "event_type", "ts", "2024-01-01 00:00:00", 3600)
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.counts_by(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "1995-01-01 00:00:00", 86400, DAYS)
+    return src.counts_by(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "1995-01-01 00:00:00", 86400)
 
 
 def weekly_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.counts_by(_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", "1995-01-02 00:00:00", 604800, WEEKS, F.col("l_quantity"))
+    return src.counts_by(_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", "1995-01-02 00:00:00", 604800, F.col("l_quantity"))
 
 
 def _r(c: str, digits: int = 4):
@@ -61,16 +62,16 @@ def query(spark: SparkSession, sf_dir: str, cfg: CorrConfig = CFG, method: str =
 _HOUR = "CAST(floor((epoch(CAST(ts AS TIMESTAMP)) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS BIGINT)"
 
 
-def _series_sql(source: str, id_: str, tick: str, ticks: int, value: str = "count(*)") -> str:
+def _series_sql(source: str, id_: str, tick: str, value: str = "count(*)") -> str:
     return f"""counted AS (SELECT CAST({id_} AS VARCHAR) AS id, {tick} AS t, CAST({value} AS DOUBLE) AS v FROM {source} GROUP BY 1, 2),
 series AS (SELECT i.id, g.t, coalesce(c.v, CAST(0 AS DOUBLE)) AS v
-  FROM (SELECT DISTINCT id FROM counted) i CROSS JOIN (SELECT unnest(range({ticks})) AS t) g
+  FROM (SELECT DISTINCT id FROM counted) i CROSS JOIN (SELECT unnest(generate_series(least(min(t), 0), max(t))) AS t FROM counted) g
   LEFT JOIN counted c ON c.id = i.id AND c.t = g.t)"""
 
 
-EVENTS = _series_sql("events", "event_type", _HOUR, HOURS)
-ORDERS = _series_sql("orders", "o_orderpriority", "CAST(floor((epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1995-01-01')) / 86400) AS BIGINT)", DAYS)
-LINES = _series_sql("lineitem", "l_suppkey", "CAST(floor((epoch(CAST(l_shipdate AS TIMESTAMP)) - epoch(TIMESTAMP '1995-01-02')) / 604800) AS BIGINT)", WEEKS, "sum(l_quantity)")
+EVENTS = _series_sql("events", "event_type", _HOUR)
+ORDERS = _series_sql("orders", "o_orderpriority", "CAST(floor((epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1995-01-01')) / 86400) AS BIGINT)")
+LINES = _series_sql("lineitem", "l_suppkey", "CAST(floor((epoch(CAST(l_shipdate AS TIMESTAMP)) - epoch(TIMESTAMP '1995-01-02')) / 604800) AS BIGINT)", "sum(l_quantity)")
 
 
 def _windows_sql(cfg: CorrConfig, source: str = "series") -> str:
@@ -430,9 +431,9 @@ _add(
     "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
 )
 _add("recent_years", lambda s, d: search.recent_years(_table(s, d, "orders").select("o_orderkey", "o_orderdate"), 2, "o_orderdate").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= (SELECT year(max(o_orderdate)) - 1 FROM orders)")
-_add("train_split", lambda s, d: src.train_split(daily_orders(s, d), DAYS, 0.3), _with(ORDERS, f"SELECT id, t, v FROM series WHERE t < {round(0.3 * DAYS)}"))
+_add("train_split", lambda s, d: experiment.training(daily_orders(s, d), 0.3), _with(ORDERS, "SELECT id, t, v FROM series WHERE t < (SELECT min(t) + round_even(0.3 * (max(t) - min(t) + 1), 0) FROM series)"))
 _add("select_rows", lambda s, d: src.first_series(src.first_rows(daily_orders(s, d), 100), ["1-URGENT", "2-HIGH"], 2), _with(ORDERS, "SELECT id, t, v FROM series WHERE t < 100 AND id IN ('1-URGENT', '2-HIGH')"))
-_add("select_years", lambda s, d: src.last_years(hourly_events(s, d).withColumn("t", F.col("t") * 60), 1), _with(EVENTS, f"SELECT id, t * 60 AS t, v FROM series WHERE t * 60 > {60 * (HOURS - 1)} - 8760"))
+_add("select_years", lambda s, d: src.last_years(hourly_events(s, d).withColumn("t", F.col("t") * 60), 1), _with(EVENTS, "SELECT id, t * 60 AS t, v FROM series WHERE t * 60 > (SELECT max(t) * 60 FROM series) - 8760"))
 _add("membership_filter", lambda s, d: search.by_membership(_corr(query(s, d).correlated), s.createDataFrame([("click",), ("view",), ("purchase",)], "id string"), "id1", "id2"), _with(_correlated_sql(CFG), _CORR_COLUMNS + " WHERE id1 IN ('click', 'view', 'purchase') AND id2 IN ('click', 'view', 'purchase')"))
 _add(
     "time_ticks",
@@ -441,8 +442,8 @@ _add(
 )
 _add(
     "wide_to_long",
-    lambda s, d: src.from_wide(_table(s, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount"), "l_orderkey"),
-    "SELECT u.id, l_orderkey AS t, u.v FROM lineitem, unnest([{'id': 'l_quantity', 'v': l_quantity}, {'id': 'l_discount', 'v': l_discount}]) AS x(u) WHERE l_linenumber = 1",
+    lambda s, d: src.from_wide(_table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_quantity", "l_discount"), "line"),
+    "SELECT u.id, l_orderkey * 10 + l_linenumber AS t, u.v FROM lineitem, unnest([{'id': 'l_quantity', 'v': l_quantity}, {'id': 'l_discount', 'v': l_discount}]) AS x(u)",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -45,9 +46,15 @@ class CorrQuery:
     @cached_property
     def correlated(self) -> DataFrame:
         if self.method == "exact":
-            return blocks.correlated(self.windows, self.cfg) if self.cfg.corr_val else pairs.exact_correlated(self.windows, self.cfg)
+            return blocks.correlated(self.windows, self.blocked) if self.cfg.corr_val else pairs.exact_correlated(self.windows, self.cfg)
         return pairs.validate(self.candidates, self.cfg)
 
+    @cached_property
+    def blocked(self) -> CorrConfig:
+        """The configuration with as many ``id_blocks`` as the number of series needs."""
+        series = self.series.select("id").distinct().count()
+        return replace(self.cfg, id_blocks=max(self.cfg.id_blocks, self.cfg.blocks_for(series)))
+
     @cached_property
     def last_anchor(self) -> DataFrame:
         return self.windows.agg(F.max("t0").alias("last_anchor"))
@@ -66,6 +73,9 @@ class CorrQuery:
 
     @cached_property
     def counters(self) -> DataFrame:
+        if self.method == "exact" and self.cfg.corr_val:
+            validated = self.correlated.agg(F.count("*").alias("validated"))
+            return pairs.exact_counts(self.windows, self.cfg).join(F.broadcast(validated), F.lit(True))  # one row each
         return pairs.counters(self.candidates, self.cfg)
 
     def metrics(self, truth: CorrQuery) -> DataFrame:

@@ -37,19 +37,20 @@ def to_ticks(rows: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(dim, rows[ts] == dim["ts"]).drop("ts"), dim
 
 
-def zero_filled(counts: DataFrame, first: int, last: int) -> DataFrame:
-    """(id, t, v) with every tick from ``first`` to ``last`` for every id; 0 where there is none."""
-    grid = counts.select("id").distinct().withColumn("t", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+def zero_filled(counts: DataFrame) -> DataFrame:
+    """(id, t, v) with every tick from 0, or the first one if that is earlier, to the last one for every id; 0 where there is none."""
+    span = F.broadcast(counts.agg(F.least(F.min("t"), F.lit(0)).cast("long").alias("first"), F.max("t").alias("last")))  # one row
+    grid = counts.select("id").distinct().join(span, F.lit(True)).select("id", F.explode(F.sequence("first", "last")).alias("t"))
     return grid.join(counts, ["id", "t"], "left").select("id", "t", F.coalesce("v", F.lit(0).cast("double")).alias("v"))
 
 
-def counts_by(rows: DataFrame, id_col: str, ts: str, origin: str, unit_seconds: int, ticks: int, value=None) -> DataFrame:
+def counts_by(rows: DataFrame, id_col: str, ts: str, origin: str, unit_seconds: int, value=None) -> DataFrame:
     """Counts, or sums of ``value``, by id and tick of ``unit_seconds`` since ``origin``; zero-filled."""
     seconds = F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lit(origin).cast("timestamp"))
     tick = F.floor(seconds / unit_seconds).cast("long")
     agg = F.count("*") if value is None else F.sum(value)
     counts = rows.groupBy(F.col(id_col).cast("string").alias("id"), tick.alias("t")).agg(agg.cast("double").alias("v"))
-    return zero_filled(counts.where(F.col("t").between(0, ticks - 1)), 0, ticks - 1)
+    return zero_filled(counts.where("t is not null"))
 
 
 def station_csv(spark: SparkSession, country: str, variable: str, roots: list[str]) -> DataFrame:

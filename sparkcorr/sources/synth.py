@@ -9,7 +9,7 @@ onto the series.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,19 @@ from pyspark.sql import functions as F
 
 from sparkcorr.shipping import ship
 
-PROCESSES = ("white_noise", "random_walk", "seasonal_arma", "seasonal_ar", "ou", "rw_seasonal_drift", "trend_ar", "integrated_seasonal", "ar1")
+#: The base processes and their parameters; ``sigma``, the noise's deviation, is 1 for all.
+DEFAULTS = {
+    "white_noise": {},
+    "random_walk": {},
+    "seasonal_arma": {"phi": 0.6, "theta": -0.3, "season_period": 200, "season_amplitude": 1.0},
+    "seasonal_ar": {"phi_short": 0.3, "phi_long": 0.6, "season_lag": 24},
+    "ou": {"theta": 0.3, "mu": 0.0, "dt": 1.0},
+    "rw_seasonal_drift": {"drift": 0.05, "season_amplitude": 0.5, "season_period": 288},
+    "trend_ar": {"phi": 0.5},
+    "integrated_seasonal": {"phi": 0.4, "psi": 0.5, "season_lag": 24},
+    "ar1": {"phi": 0.6},
+}
+PROCESSES = tuple(DEFAULTS)
 
 
 @dataclass(frozen=True)
@@ -33,51 +45,57 @@ class SynthConfig:
     observation_noise: float = 0.0
     equalise: int = 0
     equalise_pad: str = "reflect"
-    period: int = 24
+    parameters: dict = field(default_factory=dict)  # of the process, beside DEFAULTS
     seed: int = 1
 
     def __post_init__(self):
         if self.base_proc not in PROCESSES or self.corr_sign not in ("pos", "neg", "both") or self.equalise_pad not in ("reflect", "edge", "constant"):
             raise ValueError("unknown process, sign or padding")
+        if self.parameters.keys() - DEFAULTS[self.base_proc].keys() - {"sigma"}:
+            raise ValueError(f"{self.base_proc} has the parameters sigma, {', '.join(DEFAULTS[self.base_proc])}")
         if self.w > self.n or self.m < 2:
             raise ValueError("a template must fit a series, and there must be two")
 
     @property
     def stem(self) -> str:
-        return f"synth_{self.base_proc}_z{self.z:g}_m{self.m}_n{self.n}_w{self.w}_sign{self.corr_sign}_thr{self.threshold:g}_seed{self.seed}".replace(".", "p")
+        own = "".join(f"_{k}{v:g}" for k, v in sorted(self.parameters.items()))
+        return f"synth_{self.base_proc}{own}_z{self.z:g}_m{self.m}_n{self.n}_w{self.w}_sign{self.corr_sign}_thr{self.threshold:g}_seed{self.seed}".replace(".", "p")
 
 
 def _recur(noise: np.ndarray, *coefficients: tuple[int, float]) -> np.ndarray:
-    """x[t] = noise[t] + the sum of coefficient * x[t - lag]."""
+    """x[t] = noise[t] + the sum of coefficient * x[t - lag], from the longest lag on; noise alone before."""
     x = noise.copy()
-    for t in range(len(x)):
-        for lag, a in coefficients:
-            if t >= lag:
-                x[t] += a * x[t - lag]
+    for t in range(max(lag for lag, _ in coefficients), len(x)):
+        x[t] += sum(a * x[t - lag] for lag, a in coefficients)
     return x
 
 
-def base_process(kind: str, n: int, rng: np.random.Generator, period: int = 24) -> np.ndarray:
-    noise, t = rng.standard_normal(n), np.arange(n)
-    season = np.sin(2 * np.pi * t / period + rng.uniform(0, 2 * np.pi))
+def base_process(kind: str, n: int, rng: np.random.Generator, **parameters) -> np.ndarray:
+    """One series of a process, with ``parameters`` in place of ``DEFAULTS``."""
+    p = {"sigma": 1.0} | DEFAULTS[kind] | parameters
+    noise, t = p["sigma"] * rng.standard_normal(n), np.arange(n)
     if kind == "white_noise":
         return noise
     if kind == "random_walk":
         return noise.cumsum()
-    if kind == "seasonal_arma":
-        return season + _recur(noise + 0.4 * np.concatenate(([0.0], noise[:-1])), (1, 0.6))
-    if kind == "seasonal_ar":
-        return _recur(noise, (1, 0.5), (period, 0.3))
-    if kind == "ou":
-        return _recur(0.3 * noise, (1, 1 - 0.05))
-    if kind == "rw_seasonal_drift":
-        return noise.cumsum() + season * np.sqrt(period) + 0.01 * t
+    if kind == "ar1":
+        return _recur(noise, (1, p["phi"]))
+    if kind == "ou":  # around mu, in steps of dt
+        noise[1:] *= np.sqrt(p["dt"])
+        return p["mu"] + _recur(noise, (1, 1 - p["theta"] * p["dt"]))
     if kind == "trend_ar":
-        u = t / max(n - 1, 1)
-        return np.polyval(rng.standard_normal(3) * 5, u) + _recur(noise, (1, 0.7))
+        u, slope, curve = np.linspace(0.0, 1.0, n), rng.normal(0.5, 0.2), rng.normal(0.0, 0.1)
+        noise[:1] = 0.0
+        return slope * u + curve * u * u + _recur(noise, (1, p["phi"]))
+    if kind == "seasonal_ar":
+        return _recur(noise, (1, p["phi_short"]), (max(1, int(p["season_lag"])), p["phi_long"]))
     if kind == "integrated_seasonal":
-        return (season + 0.5 * noise).cumsum()
-    return _recur(noise, (1, 0.8))
+        return _recur(noise, (1, p["phi"]), (max(1, int(p["season_lag"])), p["psi"])).cumsum()
+    season = p["season_amplitude"] * np.sin(2 * np.pi * t / max(1, p["season_period"]) + rng.uniform(0, 2 * np.pi))
+    if kind == "rw_seasonal_drift":  # the season moves the steps
+        return (noise + np.where(t > 0, p["drift"] + season, 0.0)).cumsum()
+    shocks = p["sigma"] * rng.standard_normal(n)
+    return season + _recur(noise + p["theta"] * np.concatenate(([0.0], shocks[:-1])), (1, p["phi"]))
 
 
 def equalise(x: np.ndarray, width: int, pad: str = "reflect", target: float = 1.0) -> np.ndarray:
@@ -120,7 +138,7 @@ def generate(spark: SparkSession, cfg: SynthConfig) -> tuple[DataFrame, DataFram
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pos = int(pdf["pos"].iloc[0])
         rng = np.random.default_rng(np.random.SeedSequence([cfg.seed, pos]))
-        x = base_process(cfg.base_proc, cfg.n, rng, cfg.period)
+        x = base_process(cfg.base_proc, cfg.n, rng, **cfg.parameters)
         if cfg.observation_noise:
             x = x + cfg.observation_noise * rng.standard_normal(cfg.n)
         if cfg.equalise:

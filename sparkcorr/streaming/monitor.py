@@ -2,8 +2,8 @@
 
 A time chunk is the step: rows (id, t, v) arrive in any partitioning. The correlator keeps, for
 each group of series pairs, the windows of the last ``n_lags`` ticks; the monitor keeps one small
-record a key. Both emit what the batch operators give for the same ticks. Rows that come after a
-tick's step has been closed are dropped, as are ticks older than the retained ones.
+record a key. Both emit what the batch operators give for the same ticks. Rows that come after their
+tick's step has been closed are dropped; ``lateness`` says for how many ticks a step stays open.
 """
 
 from __future__ import annotations
@@ -24,23 +24,26 @@ PAIRS = "id1 string, t1 long, id2 string, t2 long, lag long, corr double"
 EVENTS = "id1 string, id2 string, lag long, time_idx long, anomaly string"
 
 
-def _usable(x: np.ndarray, w: int) -> bool:
-    """A window that is neither constant nor spiked."""
-    if np.isnan(x).any():
-        return False
-    d = x - x.mean()
-    ssd = float(d @ d)
-    if ssd <= 1e-6 * w:
-        return False
-    return w < 4 or (d**4).mean() / (ssd / w) ** 2 - 3 <= 5
+def _normalised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are neither incomplete, constant nor spiked; and these, centred and of length 1."""
+    w = x.shape[1]
+    rows = np.flatnonzero(~np.isnan(x).any(1))
+    d = x[rows] - x[rows].mean(1, keepdims=True)
+    ssd = (d * d).sum(1)
+    ok = ssd > 1e-6 * w
+    if w >= 4:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ok &= (d**4).mean(1) / (ssd / w) ** 2 - 3 <= 5
+    return rows[ok], d[ok] / np.sqrt(ssd[ok])[:, None]
 
 
-def correlate_stream(series: DataFrame, cfg: CorrConfig) -> DataFrame:
+def correlate_stream(series: DataFrame, cfg: CorrConfig, *, lateness: int = 0) -> DataFrame:
     """Validated pairs of a streaming (id, t, v), each once its later window is complete.
 
-    State is keyed by a pair of series blocks; ``id_blocks`` sets how many tasks share the work.
-    A step closes with its last tick, so a micro-batch must hold all series' ticks of the steps
-    that it closes, as a source of whole chunks does.
+    State is keyed by a pair of series blocks, ``id_blocks`` of them; it is one matrix of the retained
+    ticks. A step closes when a tick is seen that is ``lateness`` ticks past its last one; until then a
+    step's ticks may come in any micro-batch. With 0, a micro-batch must hold all series' ticks of the
+    steps that it closes, as a source of whole chunks does.
     """
     ship(series.sparkSession)
     blocks = cfg.id_blocks
@@ -52,50 +55,50 @@ def correlate_stream(series: DataFrame, cfg: CorrConfig) -> DataFrame:
     origin = cfg.origin or 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wanted = sorted(map(int, key))
-        buffer: dict[str, dict[int, float]] = {}
-        block_of: dict[str, int] = {}
-        done = -1
+        across = key[0] != key[1]
+        ids, owns, first, done, kept = [], [], origin, -1, np.zeros((0, 0))
         if state.exists:
-            ids, owns, ticks, values, done = state.get
-            for i, own_block, t, v in zip(ids, owns, ticks, values):
-                buffer.setdefault(i, {})[t] = v
-                block_of[i] = own_block
-        newest = done
-        for pdf in batches:
-            for own_block, i, t, v in pdf[["own", "id", "t", "v"]].itertuples(index=False):
-                k = t - origin
-                if k < 0 or k // cfg.step <= done or v != v:
-                    continue
-                buffer.setdefault(i, {})[t] = v
-                block_of[i] = own_block
-                newest = max(newest, (k + 1) // cfg.step - 1)
-        out = []
+            ids, owns, first, done, raw = state.get
+            ids, owns = list(ids), list(owns)
+            kept = np.frombuffer(raw, np.float64).reshape(len(ids), -1) if ids else kept
+        new = pd.concat([p[["own", "id", "t", "v"]] for p in batches])
+        new = new[(new["t"] >= max(first, origin + (done + 1) * cfg.step)) & new["v"].notna()]
+        newest = max(done, int((new["t"].max() - origin - lateness + 1) // cfg.step - 1)) if len(new) else done
+        row_of = {i: k for k, i in enumerate(ids)}
+        for i, block in new[["id", "own"]].drop_duplicates("id").itertuples(index=False):
+            if i not in row_of:
+                row_of[i] = len(ids)
+                ids.append(i)
+                owns.append(int(block))
+        ticks = max(kept.shape[1], int(new["t"].max()) - first + 1 if len(new) else 0)
+        values = np.full((len(ids), ticks), np.nan)
+        values[: kept.shape[0], : kept.shape[1]] = kept
+        values[new["id"].map(row_of).to_numpy(int), new["t"].to_numpy() - first] = new["v"].to_numpy()
+        rank = np.empty(len(ids), np.int64)
+        rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        of_block, windows, out = np.array(owns), {}, []
         for s in range(done + 1, newest + 1):
             t1 = origin + (s + 1) * cfg.step - cfg.w
             if t1 < origin:
                 continue
-            held: dict[int, dict[str, np.ndarray]] = {}
             for t0 in range(max(origin, t1 - cfg.n_lags), t1 + 1, cfg.step):
-                for i, of in buffer.items():
-                    x = np.array([of.get(t, np.nan) for t in range(t0, t0 + cfg.w)])
-                    if _usable(x, cfg.w):
-                        d = x - x.mean()
-                        held.setdefault(t0, {})[i] = d / np.sqrt(d @ d)
-            for i, x in held.get(t1, {}).items():
-                for t0, others in held.items():
-                    for j, y in others.items():
-                        if t0 == t1 and not i < j or sorted((block_of[i], block_of[j])) != wanted:
-                            continue
-                        r = float(np.clip(x @ y, -1, 1))
-                        if (abs(r) if cfg.neg_corr else r) >= cfg.threshold:
-                            out.append((i, t1, j, t0, t1 - t0, r))
-        keep = origin + (newest + 1) * cfg.step - cfg.w - cfg.n_lags
-        flat = [(i, block_of[i], t, v) for i, of in buffer.items() for t, v in of.items() if t >= keep]
-        state.update((*([f[k] for f in flat] for k in range(4)), newest))
+                if t0 not in windows:
+                    windows[t0] = _normalised(values[:, t0 - first : t0 - first + cfg.w])
+            windows = {t0: x for t0, x in windows.items() if t0 >= t1 - cfg.n_lags}
+            rows, x = windows[t1]
+            for t0, (others, y) in windows.items():
+                r = np.clip(x @ y.T, -1, 1)
+                ok = (np.abs(r) if cfg.neg_corr else r) >= cfg.threshold
+                if t0 == t1:
+                    ok &= rank[rows][:, None] < rank[others]
+                if across:  # a pair within a block belongs to that block's key
+                    ok &= of_block[rows][:, None] != of_block[others]
+                out += [(ids[rows[a]], t1, ids[others[b]], t0, t1 - t0, r[a, b]) for a, b in zip(*np.nonzero(ok))]
+        keep = max(first, origin + (newest + 2) * cfg.step - cfg.w - cfg.n_lags)
+        state.update((ids, owns, keep, newest, np.ascontiguousarray(values[:, keep - first :]).tobytes()))
         yield pd.DataFrame(out, columns=["id1", "t1", "id2", "t2", "lag", "corr"])
 
-    kept = "ids array<string>, owns array<long>, ticks array<long>, vals array<double>, done long"
+    kept = "ids array<string>, owns array<long>, first long, done long, vals binary"
     return dealt.groupBy("b1", "b2").applyInPandasWithState(step, PAIRS, kept, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -130,13 +133,16 @@ def monitor_stream(correlated: DataFrame, cfg: CorrConfig) -> DataFrame:
 
 
 def score_stream(correlated: DataFrame, truth: DataFrame, path: str, checkpoint: str):
-    """Write each micro-batch's true positives, by anchor, while the stream runs."""
+    """Write each micro-batch's true positives, by anchor, while the stream runs.
+
+    A micro-batch's counts are the folder ``batch=<id>``, which a retry writes over.
+    """
     keys = ["id1", "t1", "id2", "t2"]
 
     def score(batch: DataFrame, batch_id: int) -> None:
         hit = truth.select(*keys, F.lit(True).alias("hit"))
         counts = batch.join(hit, keys, "left").groupBy("t1").agg(F.count("*").alias("pred"), F.count_if("hit").alias("tp"))
-        counts.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return correlated.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).start()
 

@@ -274,6 +274,23 @@ def test_processes_are_finite_and_seeded(kind):
     assert np.isfinite(a).all() and (a == b).all() and a.std() > 0
 
 
+def test_processes_follow_their_parameters():
+    at = lambda kind, **p: synth.base_process(kind, 20_000, np.random.default_rng(4), **p)
+    lagged = lambda x, k: np.corrcoef(x[:-k], x[k:])[0, 1]
+    assert abs(lagged(at("ar1"), 1) - 0.6) < 0.03 and abs(lagged(at("ar1", phi=0.2), 1) - 0.2) < 0.03
+    assert abs(at("white_noise", sigma=3).std() - 3) < 0.1
+    ou = at("ou", mu=5, theta=0.5, dt=0.25)
+    assert abs(ou.mean() - 5) < 0.2 and abs(lagged(ou, 1) - 0.875) < 0.02
+    assert abs(np.diff(at("rw_seasonal_drift", season_amplitude=0, drift=0.5)).mean() - 0.5) < 0.05
+    assert lagged(at("seasonal_ar"), 24) > 0.5 > lagged(at("seasonal_ar", phi_long=0.0), 24)
+    steps = np.diff(at("integrated_seasonal"))
+    assert lagged(steps, 24) > 0.4
+    quiet = at("seasonal_arma", sigma=0.0, season_amplitude=2.0, season_period=50)
+    assert np.allclose(quiet[50:], quiet[:-50]) and abs(np.abs(quiet).max() - 2) < 0.01
+    with pytest.raises(ValueError):
+        synth.SynthConfig(base_proc="ou", parameters={"phi": 1})
+
+
 def test_planted_pairs_are_found(spark, tmp_path):
     c = synth.SynthConfig(m=4, n=480, w=24, z=0.2, threshold=0.9, base_proc="white_noise", seed=3)
     series, truth, meta = synth.cached(spark, c, str(tmp_path))
@@ -302,6 +319,24 @@ def test_streams_equal_batches(spark, tmp_path):
         assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_late_ticks_are_kept(spark, tmp_path):
+    """Ticks that come up to three micro-batches late, and series of which some lack a tick."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 5, 48).astype(float).cumsum()
+    s = long(spark, a=base, b=base + rng.integers(0, 3, 48), c=-base, d=rng.integers(0, 9, 48)).where("not (id = 'd' and t = 20)")
+    c = CorrConfig(w=8, step=4, n_lags=8, threshold=0.8, neg_corr=True, id_blocks=2)
+    folder = str(tmp_path / "in")
+    late = F.col("t") + F.pmod(F.hash("id", "t"), F.lit(7))
+    for k in range(0, 60, 2):
+        s.where((late >= k) & (late < k + 2)).coalesce(1).write.mode("append").parquet(folder)
+    out = stream.correlate_stream(stream.read_series(spark, folder), c, lateness=8)
+    q = out.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {k: v for k, v in pairs_of(CorrQuery(s, c).correlated).items() if k[1] + 8 <= 40 and k[3] + 8 <= 40}
+    got = pairs_of(spark.table("late"))
+    assert want and got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
 def test_streamed_events_equal_batch_but_for_open_ends(spark, tmp_path):
     c = CorrConfig(w=8, step=2, n_lags=8, threshold=0.5)
     rng = random.Random(7)
