@@ -57,7 +57,7 @@ _WORDY_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)+", re.I)
 _DIGIT_DOT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 _SPOKEN_PLUS = re.compile(r"(?<![A-Za-z0-9])plus (?=[0-9])", re.I)
-_DISGUISED_DOMAIN = re.compile(r"[0-9] dot [0-9]|plus [0-9]|[(\[{<]\s?(?:at|dot|plus)\s?[)\]}>]| at \S+ dot |@\S+ dot ", re.I)
+_DISGUISED_DOMAIN = re.compile(r"[0-9] dot [0-9]|plus [0-9]|[(\[{<]\s?(?:at|dot|plus)\s?[)\]}>]| at \S+ dot |@[A-Za-z0-9.-]+ dot ", re.I)
 
 
 def luhn(digits: str) -> bool:

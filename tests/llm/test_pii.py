@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -108,3 +109,13 @@ def test_odd_rows(odd_docs, no_docs):
     masked = pii.mask(odd_docs)
     assert masked.columns == odd_docs.columns and masked.dtypes == odd_docs.dtypes
     assert {r.doc_id: r.n_chars for r in masked.collect()}[6] == len(("é😀 ß\x00 <EMAIL> ") * 30)
+
+
+HOSTILE = ["a@a.a ", "john at mail dot com ", "a@", "@a.b", "1.2.3.4 ", "1 ", "+1 ", "+1(", "4111 1111 1111 1111 ", "one two ", "one-", "plus 1", "jоhn@example.com ", "(at)", " at x dot y", "dot ", "1.", "a@b dot c dot ", "one two three at x dot y ", "оne1 "]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_texts_take_linear_time(part):
+    began = time.process_time()
+    pii.masked(part * (200_000 // len(part)))
+    assert time.process_time() - began < 15
