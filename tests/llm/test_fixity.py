@@ -40,3 +40,34 @@ def test_odd_rows(spark):
     assert x.audit(odd.limit(0), odd.limit(0)).count() == 0
     assert x.audit(odd.limit(0), odd).where("status = 'extra'").count() == 7
     assert x.decayed(odd).where(F.col("page_id") == 5).count() in (0, 1, 2, 3)
+
+
+def test_records_that_share_a_slot_are_told_apart_by_digest_and_count(spark):
+    def audit(ours, theirs):
+        of = lambda bodies: spark.createDataFrame([(5, "u", h, "") for h in bodies] + [(6, "u", "h", "")], PAGES)
+        return sorted(r.status for r in x.audit(of(ours), of(theirs)).where("page_id = 5").collect())
+
+    assert audit("aaa", "ab") == ["corrupt", "intact", "missing"]
+    assert audit("a", "aaa") == ["extra", "extra", "intact"]
+    assert audit("ab", "b") == ["intact", "missing"]
+    assert audit("ab", "cd") == ["corrupt", "corrupt"]
+    assert audit("ab", "bc") == ["corrupt", "intact"]
+    assert audit("a", "bcd") == ["corrupt", "extra", "extra"]
+
+
+def test_nodes_vouch_for_byte_ranges(spark):
+    recs = x.records(pages(spark, 600))
+    moved = recs.withColumn("length", F.when(F.col("slot") == 300, F.col("length") + 1).otherwise(F.col("length")))
+    assert [(r.archive, r.slot) for r in x.differing_slots(recs, moved).collect()] == [(0, 300)]
+    root = x.tree(recs)[-1].first()
+    assert root.bytes == recs.agg(F.sum(F.col("length") * F.col("n"))).first()[0]
+
+
+def test_copies_have_gapless_offsets(spark):
+    rows = [(k, "u", "x" * (k or 0), "") for k in (1, 2, 2, 2, 3, None, None)]
+    got = sorted((r.archive, r.offset, r.length) for r in x.audit(*[spark.createDataFrame(rows, PAGES)] * 2).collect())
+    ends = {}
+    for archive, offset, length in got:
+        assert offset == ends.get(archive, 0)
+        ends[archive] = offset + length
+    assert len(got) == 7
