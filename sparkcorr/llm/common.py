@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop) a folder of its own is set once.
+    Where a session on one machine (tests, a laptop) has none, a folder of its own is set once; a cluster must name one.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir("/tmp/checkpoints")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -54,7 +57,15 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def unstash(*stashes: DataFrame) -> None:
+    """Delete tables of ``stash`` that no later job reads."""
+    for df in stashes:
+        _delete(df.sparkSession, df._stash)
 
 
 def release(spark: SparkSession) -> None:
@@ -92,9 +103,10 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str |
 def hash_sample(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows at most, chosen by the hash of ``key``: the same ones each time.
 
-    All rows if there are no more than that. Only for fitting a model; the bound is the caller's
-    documented parameter.
+    All rows if there are no more than that. Rows without a key are none of them, as they have one hash. Only
+    for fitting a model; the bound is the caller's documented parameter.
     """
+    df = df.where(F.col(key).isNotNull())
     total = df.count()
     if total <= max_rows:
         return df

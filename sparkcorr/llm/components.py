@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcorr.llm.common import stash
+from sparkcorr.llm.common import stash, unstash
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    spent.append(least)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, spent: list[DataFrame]) -> DataFrame:
     least = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
+    spent.append(least)
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -35,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if got == mark:
             break
         mark = got
-        now = stash(_small_star(_large_star(now).distinct()))
+        spent = [now]
+        now = stash(_small_star(_large_star(now, spent).distinct(), spent))
+        unstash(*spent)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

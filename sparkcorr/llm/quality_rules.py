@@ -202,13 +202,19 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, *, min_cover: int = 5, min_preci
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, *, max_rows: int, label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and ``label = 0`` of a sample of about ``max_rows`` labelled documents that pass the base checks."""
+    """Features and ``label = 0`` of a sample of about ``max_rows`` labelled documents that pass the base checks.
+
+    Of rows that share an id one is taken, by its statistics' hash; the order is that of ids. So the rules don't depend on
+    the order of rows.
+    """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high")
     sample = F.broadcast(hash_sample(known, "doc_id", max_rows))  # bounded by max_rows
     of_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample.select("doc_id"), "doc_id", "left_semi")
     stats = text_statistics(of_docs).where(~base_failed())
-    rows = stats.join(sample, "doc_id").orderBy("doc_id").select(*(c.alias(k) for k, c in features().items()), (F.col("low") == 0).alias("bad")).toPandas()
-    return rows.drop(columns="bad").to_numpy(float).reshape(-1, len(features())), rows["bad"].to_numpy(bool)
+    names = stats.columns[1:]
+    one = stats.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("s")).select("doc_id", "s.*")
+    rows = one.join(sample, "doc_id").select("doc_id", *(c.alias(k) for k, c in features().items()), (F.col("low") == 0).alias("bad")).toPandas().sort_values("doc_id")
+    return rows.drop(columns=["doc_id", "bad"]).to_numpy(float).reshape(-1, len(features())), rows["bad"].to_numpy(bool)
 
 
 def decision_list(rules: list[Rule]) -> Column:
@@ -244,13 +250,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     matched by their content and not only by ``doc_id``."""
     rules = learn_rules(*labelled_features(docs, labels, **({"max_rows": 20_000} | options)))
     columns, names = docs.columns, [n.split()[0] for n in STATISTICS.split(", ")[1:]]
-    schema = StructType([*docs.schema.fields, *(StructField(f"__{n}", LongType()) for n in names)])
+    mark = "__"
+    while any(c.startswith(mark) for c in columns):  # no column of ours may clash with the documents'
+        mark += "_"
+    schema = StructType([*docs.schema.fields, *(StructField(mark + n, LongType()) for n in names)])
     text_at = columns.index("text")
 
     def count(*cols: list) -> list:
         return [*cols, *(list(c) for c in zip(*map(statistics_of, cols[text_at])))]
 
-    clash = {c: f"__own_{c}" for c in columns if c in names}
-    counted = map_batches(docs, count, schema).withColumnsRenamed(clash).withColumnsRenamed({f"__{n}": n for n in names})
+    clash = {c: f"{mark}own_{c}" for c in columns if c in names}
+    counted = map_batches(docs, count, schema).withColumnsRenamed(clash).withColumnsRenamed({mark + n: n for n in names})
     kept = counted.where(~base_failed() & (decision_list(rules) == 0)).drop(*names)
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*columns)
