@@ -53,7 +53,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _C = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 #: Contexts of one anchor, in a chunk and in a bucket, beyond which they are dealt by themselves.
-MANY, TOO_MANY = 64, 1024
+MANY, TOO_MANY = 256, 16384
 
 
 class Slice:
@@ -178,6 +178,12 @@ def _told(entries: np.ndarray, windows: int) -> Iterator[tuple[int, int, bytes]]
         yield grp, TOLD, blob
 
 
+def _by_context(entries: np.ndarray) -> np.ndarray:
+    """Order by anchor, then context. Contexts that agree in 64 of their bits may mix; equal ones that are so parted count
+    as two, and their bytes decide."""
+    return np.argsort((entries["key"].astype(np.uint64) << np.uint64(32)) | (entries["a"] >> np.uint64(32)))
+
+
 def _larger(entries: np.ndarray) -> np.ndarray:
     """Of entries in order of context, whether a smaller document has the context."""
     starts = _runs(entries["a"], entries["b"])
@@ -198,7 +204,7 @@ def _deal(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     def flush() -> Iterator[pa.RecordBatch]:
         w, hashes = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        order = np.lexsort((w["b"], w["a"], w["key"]))
+        order = _by_context(w)
         w, bucket = w[order], hashes[order] % buckets
         starts = _runs(w["a"], w["b"])
         keys = w["key"][starts]
@@ -237,7 +243,7 @@ def _judge(table: pa.Table) -> pa.Table:
     w, marks = (_unpacked([blobs[k] for k in np.flatnonzero(kinds == kind).tolist()], dtype) for kind, dtype in ((ENTRIES, ENTRY), (MARKS, MARK)))
     del blobs
     if len(w):
-        w = w[np.lexsort((w["b"], w["a"], w["key"]))]
+        w = w[_by_context(w)]
         starts = _runs(w["key"], w["a"], w["b"])
         sizes = np.diff([*starts.tolist(), len(w)])
         least = np.minimum.reduceat(w["doc"], starts)
@@ -277,7 +283,7 @@ class Told:
         told = _unpacked(table.column("blob").to_pylist(), TELL)
         self.known = np.unique(told["doc"])
         mixed = self._mix(told["doc"], told["a"], told["b"])
-        order = np.lexsort((told["b"], mixed))
+        order = np.argsort(mixed)
         mixed, told = mixed[order], told[order]
         starts = _runs(mixed, told["b"])
         self.mixed, self.b = mixed[starts], told["b"][starts]

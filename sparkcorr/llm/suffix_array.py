@@ -1,18 +1,15 @@
-"""Suffix arrays by induced sorting.
+"""Suffix arrays by induced sorting, a bucket of suffixes at a time.
 
 Suffixes are classified as S (smaller than the next one) or L; an LMS position is an S after an L.
 The leftmost-smaller substrings are sorted by inducing, and named; repeated names are told apart
-by sorting the string of names in the same way, recursively; from the sorted LMS suffixes one
-pass over the buckets upwards induces the L suffixes and one downwards the S suffixes. Over bytes
-each pass handles the suffixes of a bucket together: one of numpy's steps for each round of a
-repeated character. Strings of names have nearly as many buckets as suffixes, and are done one
-suffix at a time.
+recursively, each level naming pairs of names of the level below; from the sorted LMS suffixes one
+pass over the buckets upwards induces the L suffixes and one downwards the S suffixes. Each pass
+handles the suffixes of a bucket together: one of numpy's steps for each round of a repeated
+character, instead of one of Python's for each suffix.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 
 
@@ -82,57 +79,23 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) ->
     return np.concatenate([x for c in range(sigma) for x in (larger[c], smaller[c])])
 
 
-def _sort_numbers(text: list[int], sigma: int) -> list[int]:
-    """The suffix array of numbers below ``sigma``, the last of which is 0 and the only one."""
-    n = len(text)
-    if n == 1:
-        return [0]
-    smaller = bytearray(n)
-    smaller[-1] = 1
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or text[i] == text[i + 1] and smaller[i + 1]
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    counts = [0] * (sigma + 1)
-    for c in text:
-        counts[c + 1] += 1
-    heads = list(accumulate(counts))
-
-    def induce(order: list[int]) -> list[int]:
-        out = [-1] * n
-        free = heads[1:]
-        for i in reversed(order):
-            free[text[i]] -= 1
-            out[free[text[i]]] = i
-        free = heads[:-1]
-        for i in out:  # grows ahead of the scan
-            if i > 0 and not smaller[i - 1]:
-                c = text[i - 1]
-                out[free[c]] = i - 1
-                free[c] += 1
-        free = heads[1:]
-        for k in range(n - 1, -1, -1):
-            i = out[k]
-            if i > 0 and smaller[i - 1]:
-                c = text[i - 1]
-                free[c] -= 1
-                out[free[c]] = i - 1
-        return out
-
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    after = dict(zip(lms, lms[1:] + [n - 1]))
-    name_of, name, last = {}, -1, None
-    for i in induce(lms):
-        if is_lms[i]:
-            piece = text[i : after[i] + 1]
-            name += piece != last
-            name_of[i], last = name, piece
-    if name + 1 < len(lms):
-        lms = [lms[k] for k in _sort_numbers([name_of[i] for i in lms], name + 1)]
-    else:
-        lms.sort(key=name_of.__getitem__)
-    return induce(lms)
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``names``: pairs are named, then pairs of pairs, until all differ."""
+    n, step = len(names), 1
+    rank = names.astype(np.int64)
+    while True:
+        second = np.zeros(n, np.int64)
+        if step < n:
+            second[:-step] = rank[step:] + 1
+        pair = rank * (n + 2) + second
+        order = np.argsort(pair, kind="stable")
+        value = pair[order]
+        new = np.concatenate(([0], np.cumsum(value[1:] != value[:-1])))
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        if new[-1] == n - 1 or step >= n:
+            return order
+        step *= 2
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -163,7 +126,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     if names[-1] < len(lms) - 1:
         name_of = np.empty(len(text), np.int64)
         name_of[by_substring] = names
-        by_substring = lms[_sort_numbers(name_of[lms].tolist(), int(names[-1]) + 1)]
+        by_substring = lms[_sort_names(name_of[lms])]
     return _induce(text, is_s, by_substring, sigma)[1:]  # without the sentinel
 
 

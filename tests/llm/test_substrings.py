@@ -112,17 +112,3 @@ def test_weak_hashes(spark, monkeypatch, bits):
         every = s.pa.concat_tables([told_rows.select(["grp", "blob"]), *([found.select(["grp", "blob"])] if asked.num_rows else [])])
         out = s._cut(False, documents, every).drop_columns(["kept"]).to_pylist()
         assert sorted((tuple(r.values()) for r in out), key=repr) == brute(rows)
-
-
-@pytest.mark.parametrize("alphabet", [1, 2, 5, 1000])
-def test_strings_of_names_are_sorted_recursively(alphabet):
-    rng = random.Random(alphabet)
-    for n in (1, 2, 10, 200, 2000):
-        d = [rng.randrange(1, alphabet + 1) for _ in range(n)] * rng.choice([1, 2]) + [0]
-        assert suffix_array_of(d) == sorted(range(len(d)), key=lambda i: d[i:])
-
-
-def suffix_array_of(numbers):
-    from sparkcorr.llm.suffix_array import _sort_numbers
-
-    return _sort_numbers(numbers, max(numbers) + 1)
