@@ -48,24 +48,33 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    Unlike a cache, the rows outlive the executors that made them.
+    Unlike a cache, the rows outlive the executors that made them. ``by``, a column of few values, has a folder for each.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by:
+        writers = "spark.sql.maxConcurrentOutputFileWriters"
+        before = spark.conf.get(writers)
+        spark.conf.set(writers, "4")  # else rows are sorted by the column first
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            spark.conf.set(writers, before)
+    else:
+        df.write.parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path
     return out
 
 
-def unstash(*stashes: DataFrame) -> None:
-    """Delete tables of ``stash`` that no later job reads."""
+def unstash(*stashes: DataFrame, part: str = "") -> None:
+    """Delete tables of ``stash``, or a ``part`` of them, that no later job reads."""
     for df in stashes:
-        _delete(df.sparkSession, df._stash)
+        _delete(df.sparkSession, f"{df._stash}/{part}".rstrip("/"))
 
 
 def release(spark: SparkSession) -> None:
