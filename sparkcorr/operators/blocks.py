@@ -79,6 +79,55 @@ def block_neighbours(left: pa.Table, right: pa.Table, tau: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), NEAR)], schema=NEAR)
 
 
+def block_votes(table: pa.Table, tau: float, min_votes: int, dims: int) -> pa.Table:
+    """(id1, id2, votes) of the vectors (id, u, own) of ``block1`` and ``block2``, or of one block with itself, with ``min_votes`` or more."""
+    own = table.column("own").to_numpy()
+    ids = table.column("id").combine_chunks()
+    rank = pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    by_rank = np.argsort(rank, kind="stable")
+    u = np.full((table.num_rows, dims), np.nan)
+    lists = table.column("u").combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    u[np.repeat(np.arange(len(u)), lengths), place] = lists.flatten().to_numpy(zero_copy_only=False)
+    one, other = table.column("block1")[0].as_py(), table.column("block2")[0].as_py()
+    left, right = by_rank[own[by_rank] == one], by_rank[own[by_rank] == other]
+    out = []
+    for p in _tiles(rank[left]):
+        for q in _tiles(rank[right]):
+            a, b = left[p], right[q]
+            if one == other and rank[a[0]] > rank[b[-1]]:
+                continue
+            i, j = (np.cumsum(np.diff(rank[x], prepend=rank[x[0]]) > 0) for x in (a, b))  # the number of each row's id
+            votes = np.zeros((i[-1] + 1, j[-1] + 1), np.int64)
+            for s in range(0, len(a), TILE):
+                for t in range(0, len(b), TILE):
+                    near = np.zeros((len(a[s : s + TILE]), len(b[t : t + TILE])), np.int16)
+                    for k in range(dims):
+                        near += np.abs(u[a[s : s + TILE], k][:, None] - u[b[t : t + TILE], k]) <= tau
+                    at, to = (np.unique(x, return_index=True) for x in (i[s : s + TILE], j[t : t + TILE]))
+                    if len(at[0]) < len(near) or len(to[0]) < near.shape[1]:
+                        near = np.add.reduceat(np.add.reduceat(near, at[1], 0, np.int64), to[1], 1)
+                    votes[at[0][0] : at[0][-1] + 1, to[0][0] : to[0][-1] + 1] += near
+            m, n = np.nonzero(votes >= min_votes)
+            x, y = a[np.searchsorted(i, m)], b[np.searchsorted(j, n)]
+            keep = rank[x] != rank[y] if one != other else rank[x] < rank[y]
+            x, y, found = x[keep], y[keep], votes[m, n][keep]
+            swap = rank[x] > rank[y]
+            out.append((np.where(swap, y, x), np.where(swap, x, y), found))
+    x, y, found = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return pa.table({"id1": ids.take(pa.array(x)), "id2": ids.take(pa.array(y)), "votes": pa.array(found)})
+
+
+def _tiles(rank: np.ndarray) -> list[slice]:
+    """Slices of about ``TILE`` rows in order of ids; rows of one id are in one."""
+    edges, at = [0], 0
+    while at < len(rank):
+        at = int(np.searchsorted(rank, rank[min(at + TILE, len(rank)) - 1], "right"))
+        edges.append(at)
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def correlated(windows: DataFrame, cfg: CorrConfig) -> DataFrame:
     """(id1, t1, id2, t2, lag, corr) of all pairs that pass, of windows neither constant nor spiked."""
     ship(windows.sparkSession)

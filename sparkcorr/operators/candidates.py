@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkcorr.config import CorrConfig
 from sparkcorr.functions.window_math import total
 from sparkcorr.operators import sketch as sk
-from sparkcorr.operators.blocks import block_neighbours
+from sparkcorr.operators.blocks import block_neighbours, block_votes
 from sparkcorr.operators.pairs import band_join
 from sparkcorr.shipping import ship
 
@@ -92,11 +92,18 @@ def vector_neighbours(vectors: DataFrame, tau: float, *, id_col: str, vector_col
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: block_neighbours(a, b, tau), "id1 long, id2 long, sign int, dist double")
 
 
-def coordinate_votes(vectors: DataFrame, tau: float, min_votes: int, *, id_col: str, vector_col: str, dims: int) -> DataFrame:
-    """(id1, id2, votes): in how many of the first ``dims`` coordinates two vectors differ by ``tau`` or less."""
-    one = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.slice(F.transform(vector_col, lambda x: x.cast("double")), 1, dims)).alias("grid", "u"))
-    cell = F.floor(F.col("u") / F.lit(tau)).cast("long")
-    x = one.select(F.col("id").alias("id1"), "grid", F.col("u").alias("u1"), cell.alias("cell"))
-    y = one.select(F.col("id").alias("id2"), "grid", F.col("u").alias("u2"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    met = x.join(y, ["grid", "cell"]).where((F.col("id1") < F.col("id2")) & (F.abs(F.col("u1") - F.col("u2")) <= F.lit(tau)))
-    return met.groupBy("id1", "id2").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
+def coordinate_votes(vectors: DataFrame, tau: float, min_votes: int, *, id_col: str, vector_col: str, dims: int, block: int = 8192) -> DataFrame:
+    """(id1, id2, votes): in how many of the first ``dims`` coordinates two vectors differ by ``tau`` or less.
+
+    Vectors are dealt to blocks of about ``block`` by their ids, and to a key for each other block; under a key votes are
+    counted in tiles, so that only the pairs with votes enough leave it. Rows that share an id add up their votes.
+    """
+    ship(vectors.sparkSession)
+    coordinates = F.slice(F.transform(vector_col, lambda x: x.cast("double")), 1, dims)
+    one = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), coordinates.alias("u"))
+    blocks = max(1, -(-one.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    dealt = one.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("id", "u", "own", F.least("own", "other").alias("block1"), F.greatest("own", "other").alias("block2"))
+    id_type = dict(one.dtypes)["id"]
+    return dealt.groupBy("block1", "block2").applyInArrow(lambda t: block_votes(t, tau, min_votes, dims), f"id1 {id_type}, id2 {id_type}, votes long")

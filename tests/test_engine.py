@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcorr.config import CorrConfig, default_basic_window
 from sparkcorr.functions import window_math as wm
-from sparkcorr.operators import metrics, monitor, pairs, search
+from sparkcorr.operators import candidates, metrics, monitor, pairs, search
 from sparkcorr.operators import sketch as sk
 from sparkcorr.operators import windows as win
 from sparkcorr.plans.query import CorrQuery
@@ -350,3 +350,21 @@ def test_streamed_events_equal_batch_but_for_open_ends(spark, tmp_path):
     last = rows.agg(F.max("t1").alias("last_anchor"))
     want = sorted((r.time_idx, r.anomaly) for r in monitor.anomalies(rows, c, last).collect())
     assert sorted((r.time_idx, r.anomaly) for r in spark.table("events").collect()) == want
+
+
+@pytest.mark.parametrize("block", [1, 40, 8192])
+def test_votes_of_coordinates_by_blocks(spark, block):
+    """Ids as strings and repeated, short, null and NaN vectors; against every pair. Only pairs that pass are rows of the plan."""
+    rng = random.Random(3)
+    rows = [(f"v{rng.randrange(90)}" if k % 9 else None, [rng.choice([rng.random() / 4, k % 3 * 0.1, math.nan, None]) for _ in range(rng.choice([8, 8, 10, 5, 0]))]) for k in range(120)] + [("v1", None)]
+    df = spark.createDataFrame(rows, "id string, v array<float>").withColumn("v", F.transform("v", lambda x: F.round(x.cast("double"), 6)))
+    rows = [tuple(r) for r in df.collect()]
+    want = {}
+    for a, x in rows:
+        for b, y in rows:
+            if a and b and a < b and x and y:
+                n = sum(p is not None and q is not None and abs(p - q) <= 0.05 for p, q in zip(x[:8], y[:8]))
+                want[a, b] = want.get((a, b), 0) + n
+    votes = candidates.coordinate_votes(df, 0.05, 3, id_col="id", vector_col="v", dims=8, block=block)
+    assert {(r.id1, r.id2): r.votes for r in votes.collect()} == {k: n for k, n in want.items() if n >= 3}
+    assert "Join" not in votes._jdf.queryExecution().toString()
