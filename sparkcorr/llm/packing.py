@@ -15,7 +15,6 @@ dense: the partition's number in the high bits.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,65 +27,143 @@ from pyspark.sql import functions as F
 from sparkcorr.shipping import ship
 
 END_ID = 2
-CACHED_PIECES, CACHED_CHARS = 500_000, 64
+CACHED_PIECES, CACHED_CHARS = 250_000, 64
+#: Texts, and characters of them, encoded at once.
+SLICE_ROWS, SLICE_CHARS = 2000, 4 << 20
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+SPACE, LETTER, STOP = 1, 2, 3
+#: The class of each byte of UTF-8. Of letters beyond ASCII those in U+00C0 to U+00FF count; they are two bytes.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = LETTER
+_CLASS[list(b" \n")], _CLASS[list(b",.")] = SPACE, STOP
+
+
+class Stored:
+    """Ids of pieces, end to end; ``rows`` has each piece's number."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ids, self.ends, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first, n = int(self.ends[self.n]), self.n + len(sizes)
+        if n >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(n, np.int64)))
+        if first + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(first + len(ids), "<u4")))
+        self.ids[first : first + len(ids)] = ids
+        self.ends[self.n + 1 : n + 1] = first + np.cumsum(sizes)
+        self.n = n
+        return np.arange(n - len(sizes), n)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and how many of each."""
+        first = self.ends[rows]
+        sizes = self.ends[rows + 1] - first
+        upto = np.cumsum(sizes)
+        return self.ids[np.repeat(first - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)], sizes
 
 
 class Encoder:
     """Little-endian 32-bit ids of texts.
 
     No token of this vocabulary spans white space, nor the edge of a letter or digit and a stop or
-    comma after it. So texts are cut there, and each piece is looked up; ``tokenizers`` encodes
-    those not yet seen. Texts that may hold special tokens are encoded whole.
+    comma after it. So texts are cut there, all of a slice at once, and each distinct piece is looked up;
+    ``tokenizers`` encodes those not yet seen. Texts that may hold special tokens are encoded whole.
     """
 
-    _STOP = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([.,])")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if any(mark in text for mark in self.marks):
-            return None
-        text = self._STOP.sub(r" \1", text).replace("\n", " ")
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # one letter for one, as the vocabulary's normaliser does
-        except UnicodeEncodeError:
-            pass
-        return text.split(" ")
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Have all pieces in ``known``. Its older half is dropped when the newer one is full; what was used since stays."""
-        if len(self.known) > CACHED_PIECES:
-            self.known, self.older = {}, self.known
-        new = []
-        for piece in pieces - self.known.keys():
-            ids = self.older.get(piece)
-            if ids is None:
-                new.append(piece)
-            else:
-                self.known[piece] = ids
-        self.known.update(zip(new, self._whole(new)))
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = {t.content[:2] for t in added.values()}
+        self.between = next(((k, t.content) for k, t in added.items() if t.special and not t.normalized), None)
+        self.store, self.older_store = Stored(), Stored()
+
+    @property
+    def known(self) -> dict[str, int]:
+        return self.store.rows
+
+    @property
+    def older(self) -> dict[str, int]:
+        return self.older_store.rows
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and how many of each; many go in one text, with a special token after each."""
+        if not self.between:
+            ids = self._whole(pieces)
+            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        mark, token = self.between
+        ids = np.concatenate(self._whole([token.join([*pieces[k : k + 1000], ""]) for k in range(0, len(pieces), 1000)]))
+        is_mark = ids == mark
+        return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+
+    @staticmethod
+    def _plain(text: str) -> bytes:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.encode()
+        return text.lower().encode()  # one letter for one, as the vocabulary's normaliser does
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """Where ``store`` has each of the distinct pieces. Its older half is dropped when the newer one is full; what was used since stays."""
+        if len(self.known) > CACHED_PIECES or len(self.store.ids) > 64 * CACHED_PIECES:
+            self.store, self.older_store = Stored(), self.store
+        get = self.known.get
+        rows = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        get = self.older.get
+        before = np.fromiter((get(pieces[k], -1) for k in missing.tolist()), np.int64, len(missing))
+        for some, found in ((missing[before >= 0], self.older_store.take), (missing[before < 0], None)):
+            if len(some):
+                new = [pieces[k] for k in some.tolist()]
+                rows[some] = at = self.store.add(*(found(before[before >= 0]) if found else self._encoded(new)))
+                self.known.update(zip(new, at.tolist()))
+                for piece in new:
+                    if len(piece) > CACHED_CHARS:
+                        del self.known[piece]
+        return rows
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self._pieces, texts))
-        seen = set().union(*(p for p in cut if p is not None))
-        self._learn(seen)
-        out = [self._whole([t])[0] if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut)]
-        for piece in seen:
-            if len(piece) > CACHED_CHARS:
-                del self.known[piece]
-        return out
+        if not texts:
+            return []
+        whole = [any(mark in t for mark in self.marks) for t in texts]
+        plain = [b"" if w else self._plain(t) for t, w in zip(texts, whole)]
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        raw = np.frombuffer(b" ".join([*plain, b""]), np.uint8)
+        kind = _CLASS[raw]
+        letter, keep = kind == LETTER, kind != SPACE
+        second = np.flatnonzero(raw == 0xC3) + 1
+        letter[second] = (raw[second] != 0x97) & (raw[second] != 0xB7)  # multiplied by, divided by
+        start = keep.copy()
+        start[1:] &= ~keep[:-1] | (kind[1:] == STOP) & letter[:-1]
+        at, data = np.flatnonzero(start), raw[keep]
+        firsts = np.append(np.flatnonzero(start[keep]), len(data))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(firsts), pa.py_buffer(data)]).dictionary_encode()
+        rows = self._rows(pieces.dictionary.to_pylist())
+        ids, sizes = self.store.take(rows[pieces.indices.to_numpy()])
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        cut = upto[np.concatenate(([0], np.searchsorted(at, ends)))].tolist()
+        return [self._whole([t])[0].tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, cut[:-1], cut[1:])]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of slices of bounded size, or of one longer text."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns)
+        first = size = 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= SLICE_CHARS or k == len(texts) - 1:
+                yield ids[first : k + 1], [t or "" for t in texts[first : k + 1]]
+                first, size = k + 1, 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -207,9 +284,8 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int = END
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=PIECES)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                ids_of, texts = (c.to_pylist() for c in batch.slice(k, 1000).columns)
-                for doc_id, ids in zip(ids_of, encode([t or "" for t in texts])):
+            for ids_of, texts in _slices(batch):
+                for doc_id, ids in zip(ids_of, encode(texts)):
                     ids += end
                     held[serial] = [doc_id, ids, len(ids) // 4]
                     packer.add(serial, len(ids) // 4)

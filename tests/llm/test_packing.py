@@ -40,6 +40,20 @@ def test_the_cache_is_bounded(tokenizer, monkeypatch):
         assert len(encode.known) <= 50 + 60 and len(encode.older) <= 50 + 60
 
 
+def test_pieces_are_cut_and_encoded_many_at_once(tokenizer, monkeypatch):
+    """Letters beyond ASCII at cuts; and new pieces reach the tokenizer in few texts."""
+    edges = ["É.é,ÿ.", "×.×,÷.÷,", "a×.b÷,c", "ΑΒ.Γ,À.", "...,,a..b,.c", " .a ,b ", "\n.\n,x\n\n", "", ".", "ß.ẞ.ﬁ.é.", "<|endoftext|> a.b", "K.Å,", "a\u00a0.b\u2028.c\t.d\r\n.e"]
+    rng = random.Random(2)
+    edges += ["".join(rng.choice("aZ9.,  \nÉ×÷ÿΑé\u0301\t'<|") for _ in range(60)) for _ in range(400)]
+    encode = p.Encoder(PATH)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(edges)] == [ids(tokenizer, t)[:-1] for t in edges]
+    sent, whole = [], p.Encoder._whole
+    monkeypatch.setattr(p.Encoder, "_whole", lambda self, texts: sent.extend(texts) or whole(self, texts))
+    texts = [" ".join(f"q{k}x{j}" for j in range(50)) for k in range(100)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [ids(tokenizer, t)[:-1] for t in texts]
+    assert len(sent) <= 10  # and not 5 000
+
+
 def check(rows, encoded, size=4096):
     """Each id in one piece, sequences gapless, and only powers of two shorter than ``size``."""
     by_seq = {}
