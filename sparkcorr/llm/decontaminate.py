@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import copy
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,38 +56,62 @@ UNITS = frozenset(
     "dollar dollars cent cents euro euros usd eur percent mph kmh hz w kw v a k c f".split()
 )
 LITERAL, NUMBER, UNIT, NAME = range(4)
+#: What a vocabulary tells of a word, in bits. Characters of words beyond which a new one is begun.
+IS_END, IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4, 8
+VOCABULARY_CHARS = 2 << 20
 _PLACEHOLDER = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
+class Vocabulary(dict):
+    """The number of each word met, and what is known of it; a word is looked at once, however many slices have it."""
+
+    def __init__(self):
+        self.words, self.hashes, self.flags, self.chars = [], array("Q"), bytearray(), 0
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self.words)
+        low = w.lower()
+        self.words.append(w)
+        self.hashes.append(xxhash.xxh64_intdigest(low))
+        self.flags.append((w in END) * IS_END | w[0].isdigit() * IS_NUMBER | (low in UNITS) * IS_UNIT | (w[0].isupper() and w[1:].islower()) * IS_CAPITAL)
+        self.chars += len(w)
+        return n
+
+
+_VOCABULARY = [Vocabulary()]
+
+
+def _vocabulary() -> Vocabulary:
+    if _VOCABULARY[0].chars > VOCABULARY_CHARS:
+        _VOCABULARY[0] = Vocabulary()
+    return _VOCABULARY[0]
+
+
 class Templates:
     """The tokens of a slice of texts: strings, kinds, and hashes of their windows."""
 
     def __init__(self, texts: list[str | None]):
+        vocabulary = _vocabulary()
         found = [TOKEN.findall(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        tokens = [x for f in found for x in f]
-        words = list(dict.fromkeys(tokens))
-        code_of = {w: k for k, w in enumerate(words)}
-        codes = np.fromiter(map(code_of.__getitem__, tokens), np.int64, len(tokens))
-        ends = np.fromiter((w in END for w in words), bool, len(words))[codes] if words else np.zeros(0, bool)
+        codes = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        flags = np.frombuffer(bytes(vocabulary.flags), np.uint8)
+        of_token = flags[codes]
+        ends = of_token & IS_END > 0
         text_of = np.repeat(np.arange(len(texts)), sizes)
-        first = np.ones(len(tokens), bool)
+        first = np.ones(len(codes), bool)
         first[1:] = ends[:-1] | (text_of[1:] != text_of[:-1])
         keep = ~ends
-        self.words = words
-        self.codes, self.text_of, self.first = codes[keep], text_of[keep], first[keep]
-        number = np.fromiter((w[0].isdigit() for w in words), bool, len(words))
-        unit = np.fromiter((w.lower() in UNITS for w in words), bool, len(words))
-        self.capital = np.fromiter((w[0].isupper() and w[1:].islower() for w in words), bool, len(words))
-        kinds = np.where(number[self.codes], NUMBER, LITERAL) if words else self.codes
+        self.words, self.hashes, self.capital = vocabulary.words, np.array(vocabulary.hashes, np.uint64), flags & IS_CAPITAL > 0
+        self.codes, self.text_of, self.first, of_token = codes[keep], text_of[keep], first[keep], of_token[keep]
+        kinds = np.where(of_token & IS_NUMBER > 0, NUMBER, LITERAL)
         if len(kinds):
             after = np.zeros(len(kinds), bool)
             after[1:] = (kinds[:-1] == NUMBER) & ~self.first[1:]
-            kinds = np.where(after & unit[self.codes], UNIT, kinds)
-            kinds = np.where((kinds == LITERAL) & self.capital[self.codes] & ~self.first, NAME, kinds)
+            kinds = np.where(after & (of_token & IS_UNIT > 0), UNIT, kinds)
+            kinds = np.where((kinds == LITERAL) & (of_token & IS_CAPITAL > 0) & ~self.first, NAME, kinds)
         self.kinds = kinds
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), np.uint64, len(words))
         self.all_codes, self.at, self.counts = self.codes, np.arange(len(kinds)), np.ones(len(kinds), np.int64)
         self.bounds = np.searchsorted(self.text_of, np.arange(len(texts) + 1))
 
@@ -117,9 +143,10 @@ class Templates:
     def row(self, text: int) -> tuple[list[str], list[int]]:
         """The lower-cased tokens of a text; and of each kind + 4 (opens a sentence with a capital) + 8 words in it."""
         lo, hi = int(self.bounds[text]), int(self.bounds[text + 1])
-        strings = []
-        for first, count in zip(self.at[lo:hi].tolist(), self.counts[lo:hi].tolist()):
-            strings.append(" ".join(self.words[c] for c in self.all_codes[first : first + count]).lower())
+        strings = [self.words[c].lower() for c in self.codes[lo:hi].tolist()]
+        for k in np.flatnonzero(self.counts[lo:hi] > 1).tolist():
+            first, count = int(self.at[lo + k]), int(self.counts[lo + k])
+            strings[k] = " ".join(self.words[c] for c in self.all_codes[first : first + count]).lower()
         opens = self.first[lo:hi] & self.capital[self.codes[lo:hi]] if hi > lo else self.first[lo:hi]
         return strings, (self.kinds[lo:hi] + 4 * opens + 8 * self.counts[lo:hi]).tolist()
 
@@ -267,6 +294,7 @@ def _probe(schema: pa.Schema, sizes: list[int], known: Known, batches: Iterator[
                 rows += [(k1[k], k2[k], variant, *t.row(k), *found) for k, found in of.items()]
             if rows:
                 yield _emit(schema, rows)
+    _VOCABULARY[0] = Vocabulary()  # a worker that waits holds none
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

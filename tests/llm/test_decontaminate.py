@@ -173,3 +173,19 @@ def test_a_run_of_thirteen_tokens_is_enough(n, hit):
     words = [f"w{chr(97 + k)}{chr(98 + k)}" for k in range(24)]
     text = " ".join(w.replace("w", "v") for w in words)
     assert bool(found("some other start " + " ".join(text.split()[3 : 3 + n]) + " and another end", [(1, text)])) == hit
+
+
+def test_a_word_is_looked_at_once(monkeypatch):
+    """Slices share what is known of words; a vocabulary that is full is begun anew, with the same templates."""
+    texts = [f"Anna paid 3 kg of Éclairs, {k} in ALL. She met Bob Lee!\n4 ΣΑΣ days on" for k in range(40)]
+    digest, looked = d.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(d.xxhash, "xxh64_intdigest", lambda w: looked.append(w) or digest(w))
+    monkeypatch.setattr(d, "_VOCABULARY", [d.Vocabulary()])
+    first = [d.variants([t]) for t in texts]
+    assert len(looked) == len({w for t in texts for w in d.TOKEN.findall(t)})  # and not once a slice
+    monkeypatch.setattr(d, "VOCABULARY_CHARS", 30)
+    for text, before in zip(texts, first):
+        for t, u in zip(d.variants([text]), before):
+            assert t.row(0) == u.row(0) and all((x == y).all() for x, y in zip(t.windows(8, 1), u.windows(8, 1)))
+            assert len(d._VOCABULARY[0]) <= 60
+    assert first[0][0].row(0)[0][-4:] == ["4", "σας", "days", "on"]
