@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcorr.llm.common import stash
+from sparkcorr.llm.common import rest, stash
 from sparkcorr.shipping import ship
 
 WINDOW, MIN_LITERAL, MIN_RUN = 8, 4, 13
@@ -294,7 +294,9 @@ def _probe(schema: pa.Schema, sizes: list[int], known: Known, batches: Iterator[
                 rows += [(k1[k], k2[k], variant, *t.row(k), *found) for k, found in of.items()]
             if rows:
                 yield _emit(schema, rows)
+            del t, rows
     _VOCABULARY[0] = Vocabulary()  # a worker that waits holds none
+    rest()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcorr.llm.common import rest
 from sparkcorr.shipping import ship
 
 END_ID = 2
@@ -56,6 +57,10 @@ class Stored:
         self.n = n
         return np.arange(n - len(sizes), n)
 
+    def shrink(self) -> None:
+        """Without room to grow."""
+        self.ids, self.ends = self.ids[: self.ends[self.n]].copy(), self.ends[: self.n + 1].copy()
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, end to end, and how many of each."""
         first = self.ends[rows]
@@ -293,6 +298,9 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int = END
                 yield from emit()
         packer.finish()
         yield from emit()
+        encode.store.shrink()
+        encode.older_store = Stored()
+        rest()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcorr.llm.common import map_batches, stash
+from sparkcorr.llm.common import map_batches, rest, stash
 from sparkcorr.llm.components import components
 from sparkcorr.shipping import ship
 
@@ -175,6 +175,8 @@ def _deal(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             rows += _blobs((of[free].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets), FREE, keys[free], of[free])
             columns = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "fps"])
+            del keys, owners, of, kinds, code, counts, free, rows, columns
+    rest()
 
 
 def _links_in_bucket(table: pa.Table, max_bits: int) -> pa.Table:

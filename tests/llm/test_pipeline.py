@@ -38,3 +38,18 @@ def test_fixity_query_matches_sql(spark, sf_dir):
     names = [x[0] for x in cursor.description]
     got = sorted((tuple(r) for r in registry.op2_fixity(spark, sf_dir).select(*names).collect()), key=repr)
     assert got == sorted(cursor.fetchall(), key=repr)
+
+
+def test_memory_freed_in_a_task_goes_back():
+    """Of many small arrays the last one stays, and with it, but for ``rest``, the heap below it."""
+    import gc
+
+    from sparkcorr.llm.common import rest
+
+    mb = lambda: int(open("/proc/self/statm").read().split()[1]) / 256
+    held = [bytes([k % 251]) * 9000 for k in range(20_000)]
+    last, held = held[-1], held.clear()
+    gc.collect()
+    before = mb()
+    rest()
+    assert len(last) == 9000 and mb() <= before - 100
